@@ -21,6 +21,7 @@ _OWN_DIRS: dict[str, str] = {}
 def tune(spark: SparkSession) -> None:
     """Session settings the operators rely on: small Arrow batches (long texts) and early removal of shuffle files."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
