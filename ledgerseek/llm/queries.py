@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license, neardup, pieces, secrets, substring, warc
+from . import ann, langid, license, neardup, pieces, secrets, substring, warc
 from .common import Scratch
 
 
@@ -66,6 +66,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors["vec_id"] % 20 == 0, k=20)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archives")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op6_license_scan": op6_license_scan,
     "op7_secret_scan": op7_secret_scan,
+    "op8_nearest": op8_nearest,
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
 }
