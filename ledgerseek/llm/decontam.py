@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -87,28 +88,30 @@ class Index:
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({x for _, w in cut for x in w}))}  # 0: any other word
         self.items = [(i, np.array([self.vocab[x] for x in w], np.int64)) for i, w in cut]
         self.n_words = len(self.vocab) + 1
-        pairs = [w[:-1] * self.n_words + w[1:] for _, w in self.items]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
         self.sizes = sorted({len(w) for _, w in self.items})
         self.longest = self.sizes[-1] if self.sizes else 0
         rng = np.random.default_rng(s.seed)
         self.random_word = mix(np.arange(self.n_words, dtype=np.uint64) + np.uint64(s.seed))
         self.steps = rng.integers(0, 2**63, (s.walks, 3 * self.longest), dtype=np.uint64) | np.uint64(1)
-        self.samples: dict[int, np.ndarray] = {}
-        self.buckets: dict[tuple[int, int, int], dict[int, list[int]]] = {}
-        for n in self.sizes:
-            # beyond about 2n steps a walk has left its window
-            self.samples[n] = rng.integers(0, 2 * n, (s.walks, s.tables, s.sample))
-            own = [k for k, (_, w) in enumerate(self.items) if len(w) == n]
-            text = np.concatenate([self.items[k][1] for k in own])
-            keys = self.keys(text, np.arange(len(own)) * n, n)
+        # word pairs of the items, each with the sizes of its items as bits (sizes beyond 64 share bits)
+        codes = [w[:-1] * self.n_words + w[1:] for _, w in self.items]
+        bits = [np.full(len(w) - 1, 1 << self.sizes.index(len(w)) % 64, np.uint64) for _, w in self.items]
+        self.pairs, where = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_inverse=True)
+        self.pair_sizes = np.zeros(len(self.pairs), np.uint64)
+        if codes:
+            np.bitwise_or.at(self.pair_sizes, where, np.concatenate(bits))
+        # beyond about 2n steps a walk has left its window
+        self.samples = np.array([rng.integers(0, 2 * n, (s.walks, s.tables, s.sample)) for n in self.sizes]).reshape(-1, s.walks, s.tables, s.sample)
+        text = np.concatenate([w for _, w in self.items]) if codes else np.empty(0, np.int64)
+        sizes = np.array([len(w) for _, w in self.items], np.int64)
+        #: for each walk and table: sorted keys of the items, and the items in that order
+        self.stored = {}
+        if codes:
+            starts = np.cumsum(sizes) - sizes
             for walk in range(s.walks):
-                for t in range(s.tables):
-                    bucket: dict[int, list[int]] = {}
-                    for k, key in zip(own, keys[walk, t].tolist()):
-                        bucket.setdefault(key, []).append(k)
-                    self.buckets[n, walk, t] = bucket
-        self.sorted = {at: np.array(sorted(b), np.uint64) for at, b in self.buckets.items()}
+                for t, keys in enumerate(self.keys(text, starts, sizes, walk)):
+                    order = np.argsort(keys, kind="stable")
+                    self.stored[walk, t] = keys[order], order
 
     def edits(self, n: int) -> int:
         return int(self.s.edits * n + 1e-9)
@@ -117,20 +120,23 @@ class Index:
         """Benchmark word pairs in an item-sized window at a match, at least."""
         return max(1, n - 1 - (3 * self.edits(n) + 1))
 
-    def keys(self, text: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """(walks, tables, windows) sampled keys of the windows' embeddings."""
-        s = self.s
+    def keys(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
+        """(tables, windows) sampled keys of one walk over windows of the given starts and sizes."""
         words = self.random_word[text]
-        out = np.zeros((s.walks, s.tables, len(starts)), np.uint64)
-        for walk in range(s.walks):
-            at = np.zeros(len(starts), np.int64)
-            wanted = self.samples[n][walk]
-            for step in range(int(wanted.max()) + 1):
-                inside = at < n
-                seen = np.where(inside, words[np.minimum(starts + at, len(words) - 1)], np.uint64(0))
-                for t, k in zip(*np.nonzero(wanted == step)):
-                    out[walk, t] += mix(seen + np.uint64(k + 1))
-                at += ((seen * self.steps[walk, step]) >> np.uint64(63)).astype(np.int64) & inside
+        number = np.searchsorted(self.sizes, sizes)
+        wanted = self.samples[number, walk]  # (windows, tables, sample)
+        trace = np.zeros((int(wanted.max()) + 1, len(starts)), np.uint64)
+        at = np.zeros(len(starts), np.int64)
+        for step in range(len(trace)):
+            inside = at < sizes
+            seen = np.where(inside, words[np.minimum(starts + at, len(words) - 1)], np.uint64(0))
+            trace[step] = seen
+            at += ((seen * self.steps[walk, step]) >> np.uint64(63)).astype(np.int64) & inside
+        line = np.arange(len(starts))
+        out = np.tile(mix(sizes.astype(np.uint64)), (self.s.tables, 1))
+        for t in range(self.s.tables):
+            for k in range(self.s.sample):
+                out[t] = mix(out[t] ^ trace[wanted[:, t, k], line])
         return out
 
     def probe(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
@@ -145,33 +151,48 @@ class Index:
         gap = np.zeros(pad, np.int64)
         for w in cut:
             firsts.append(total)
-            parts += [np.fromiter((get(x, 0) for x in w), np.int64, len(w)), gap]
+            parts += [np.array(list(map(get, w, repeat(0))), np.int64), gap]
             total += len(w) + pad
         text = np.concatenate(parts)
         known = (text[:-1] > 0) & (text[1:] > 0)
         places = np.flatnonzero(known)
         code = text[places] * self.n_words + text[places + 1]
         at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        hit = np.zeros(len(text), np.int32)
-        hit[places[self.pairs[at] == code]] = 1
-        run = np.append(np.int32(0), np.cumsum(hit, dtype=np.int32))
+        same = self.pairs[at] == code
+        held = np.zeros(len(text), np.uint64)  # sizes of the items that hold the pair at this place
+        held[places[same]] = self.pair_sizes[at[same]]
+        run = np.append(np.int32(0), np.cumsum(held > 0, dtype=np.int32))
         last = len(text) - pad
         low = min(self.needed(n) for n in self.sizes)
         starts = np.flatnonzero(run[self.longest - 1 : self.longest - 1 + last] - run[:last] >= low)
         found: dict[tuple[int, int], list[int]] = {}
-        owner = np.searchsorted(np.array(firsts), starts, "right") - 1
-        for n in self.sizes:
-            fit = np.flatnonzero(run[starts + n - 1] - run[starts] >= self.needed(n))
-            for a in range(0, len(fit), 20_000):
-                some = fit[a : a + 20_000]
-                keys = self.keys(text, starts[some], n)
-                for walk in range(self.s.walks):
-                    for t in range(self.s.tables):
-                        stored, own = self.sorted[n, walk, t], keys[walk, t]
-                        spot = np.minimum(np.searchsorted(stored, own), len(stored) - 1)
-                        for i in np.flatnonzero(stored[spot] == own):
-                            for k in self.buckets[n, walk, t][int(own[i])]:
-                                found.setdefault((int(owner[some[i]]), k), []).append(int(starts[some[i]]))
+        if not len(starts):
+            return out
+        # Only the text under those starts is looked at further.
+        edge = np.zeros(len(text) + 1, np.int32)
+        edge[starts] += 1
+        np.subtract.at(edge, starts + self.longest, 1)
+        under = np.cumsum(edge[:-1]) > 0
+        spot = (np.cumsum(under) - 1)[starts]
+        held = held[under]
+        window_starts, window_sizes = [], []
+        for j, n in enumerate(self.sizes):
+            run = np.append(np.int32(0), np.cumsum((held >> np.uint64(j % 64)) & np.uint64(1), dtype=np.int32))
+            fit = starts[run[spot + n - 1] - run[spot] >= self.needed(n)]
+            window_starts.append(fit)
+            window_sizes.append(np.full(len(fit), n, np.int64))
+        window_starts, window_sizes = np.concatenate(window_starts), np.concatenate(window_sizes)
+        owner = np.searchsorted(np.array(firsts), window_starts, "right") - 1
+        for a in range(0, len(window_starts), 10_000):
+            some, sizes, docs = window_starts[a : a + 10_000], window_sizes[a : a + 10_000], owner[a : a + 10_000]
+            for walk in range(self.s.walks):
+                for t, own in enumerate(self.keys(text, some, sizes, walk)):
+                    stored, order = self.stored[walk, t]
+                    lo, hi = np.searchsorted(stored, own, "left"), np.searchsorted(stored, own, "right")
+                    for i in np.flatnonzero(hi > lo):
+                        for k in order[lo[i] : hi[i]].tolist():
+                            if len(self.items[k][1]) == sizes[i]:
+                                found.setdefault((int(docs[i]), k), []).append(int(some[i]))
         for (d, k), at_starts in found.items():
             item = self.items[k][1].tolist()
             n, most = len(item), self.edits(len(item))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, license, neardup, pieces, secrets, substring, warc
+from . import ann, decontam, langid, license, neardup, pieces, quality, secrets, substring, warc
 from .common import Scratch
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents"))
     return pieces.decode(encoded).select(
@@ -35,6 +39,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", langid.held_out(docs).alias("held_out")])
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = quality.train(docs, table(spark, sf_dir, "labels"), ["quality", "toxic"])
+    scored = quality.score(docs, models)
+    return scored.withColumn("keep", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license.scan(table(spark, sf_dir, "documents"))
     base, own = F.col("base.label"), F.col("detections.label")
@@ -84,9 +95,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_near_dedup": op3_near_dedup,
     "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
     "op6_license_scan": op6_license_scan,
     "op7_secret_scan": op7_secret_scan,
     "op8_nearest": op8_nearest,
