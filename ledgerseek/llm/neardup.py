@@ -7,10 +7,13 @@
 * SuperMinHash (Ertl 2017): every element draws ranks in the order of its own random
   permutation, correlated over the slots; work stops for a text once no later rank can
   lower any slot.  The signature's ``bands * rows`` slots give ``bands`` keys.
-* A bucket's members are joined to its smallest member (a star, never all pairs).  The
-  links are verified on full sets, first each document's most shared centre, then the
-  other centres where the groups still differ.  Only buckets that still hold members of
-  different groups get their cross-group pairs, so nothing that the stars missed is lost.
+* Shingles that only one bucket member has bound its similarity to any other: members that
+  can't reach the threshold leave, and pairs that can't are never made.  Nothing is lost.
+* A bucket's members are joined to its centre, the member with the fewest shingles of its
+  own, i.e. the likeliest source of the others (a star, never all pairs).  The links are
+  verified on full sets, first each document's most shared centre, then the other centres
+  where the groups still differ.  Only buckets that still hold members of different groups
+  get their cross-group pairs, so nothing that the stars missed is lost.
 * Groups come from :func:`components` over written tables in the shared folder.
 
 Bands of 5 rows miss a pair at similarity 0.85 with probability (1 - 0.85^5)^25 < 1e-6;
@@ -140,6 +143,24 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def own_shingles(texts: DataFrame, n: int) -> DataFrame:
+    """(id, h): the shingles of ``texts(doc_id, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "text"):
+            sets = [shingles(t, n) for t in b.column(1).to_pylist()]
+            ids = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["id", "h"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, h long")
+
+
+def _bound(size_a: str, own_a: str, size_b: str, own_b: str, percent: int) -> str:
+    """SQL: whether two sets can reach the similarity, given how many shingles each has alone (true if a size is unknown)."""
+    most = f"least({size_a} - {own_a}, {size_b} - {own_b})"
+    return f"coalesce(100 * {most} >= {percent} * ({size_a} + {size_b} - {most}), true)"
+
+
 def groups(docs: DataFrame, n: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -157,16 +178,32 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 85, bands: int = BANDS, r
     shared = scratch.put(
         rows_.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("top")).where("c <> top").select("key", "c"), "shared"
     )
-    members = scratch.put(rows_.join(shared, "key").distinct(), "members")
+    met = scratch.put(rows_.join(shared, "key").select("key", "id").distinct(), "met")
     scratch.drop("rows", "shared")
-
-    star = scratch.put(members.where("id <> c").groupBy(F.col("id").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n")).where("n >= 2"), "star")
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    wanted = met.select(F.col("id").alias("doc_id")).distinct()
     texts = scratch.put(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
 
+    # A shingle of one member alone is shared with nobody: the rest bounds its similarities.
+    alone = own_shingles(texts, n).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("top")).where("id = top")
+    alone = alone.groupBy("id").agg(F.count("*").alias("u"))
+    sizes = known.groupBy(F.col("doc_id").alias("id")).agg(F.min("n_shingles").alias("size"), F.min("fp").alias("f1"), F.max("fp").alias("f2"))
+    nodes = wanted.select(F.col("doc_id").alias("id")).join(sizes, "id").join(alone, "id", "left")
+    # (a doc_id with several sets has no bound)
+    nodes = scratch.put(nodes.select("id", F.when(F.col("f1") == F.col("f2"), F.col("size")).alias("size"), F.coalesce("u", F.lit(0)).alias("u")), "nodes")
+    members = met.join(nodes.where(f"size is null or 100 * (size - u) >= {percent} * size"), "id")
+    members = scratch.put(members, "pruned")
+    hubs = scratch.put(members.groupBy("key").agg(F.min(F.struct("u", "id", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "hubs")
+    members = scratch.put(
+        members.join(hubs, "key").select("key", "id", "size", "u", F.col("hub.id").alias("c"), F.col("hub.size").alias("c_size"), F.col("hub.u").alias("c_u")), "members"
+    )
+    scratch.drop("met", "pruned", "hubs")
+
+    within = members.where("id <> c").where(_bound("size", "u", "c_size", "c_u", percent))
+    star = scratch.put(within.groupBy(F.col("id").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n"), F.min("c_u").alias("u")).where("n >= 2"), "star")
+    best = star.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("u"), -F.col("b"))).alias("b"))
+
     # Rows that share a doc_id but not a set make their representatives one document.
-    twice = known.groupBy("doc_id").agg(F.min("fp").alias("fp"), F.max("fp").alias("fp2")).where("fp <> fp2").select("doc_id")
+    twice = known.groupBy("doc_id").agg(F.min("fp").alias("f1"), F.max("fp").alias("f2")).where("f1 <> f2").select("doc_id")
     same = known.join(twice, "doc_id", "left_semi").select("doc_id", "fp").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     links = scratch.put(verified(best, texts, n, percent).union(same), "links-1")
@@ -181,19 +218,19 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 85, bands: int = BANDS, r
     found = scratch.put(components(links, scratch, "cc2"), "groups-2")
 
     # Buckets that still hold several groups: their cross-group pairs, less those already tried.
-    named = scratch.put(grouped(members.select("key", "id"), "id", "g", found), "named")
+    named = scratch.put(grouped(members.select("key", "id", "size", "u"), "id", "g", found), "named")
     mixed = scratch.put(named.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key"), "mixed")
     inside = scratch.put(named.join(mixed, "key", "left_semi"), "inside")
     rest = (
-        inside.select("key", F.col("id").alias("a"), F.col("g").alias("ga"))
-        .join(inside.select("key", F.col("id").alias("b"), F.col("g").alias("gb")), "key")
-        .where("a > b and ga <> gb")
+        inside.select("key", F.col("id").alias("a"), F.col("g").alias("ga"), F.col("size").alias("sa"), F.col("u").alias("ua"))
+        .join(inside.select("key", F.col("id").alias("b"), F.col("g").alias("gb"), F.col("size").alias("sb"), F.col("u").alias("ub")), "key")
+        .where("a > b and ga <> gb").where(_bound("sa", "ua", "sb", "ub", percent))
         .groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
         .join(star, ["a", "b"], "left_anti")
     )
     links = scratch.put(links.union(verified(rest, texts, n, percent)), "links-3")
     found = scratch.put(components(links, scratch, "cc3"), "groups-3")
-    scratch.drop("texts", "named", "mixed", "inside", "members", "star", "links-1", "links-2", "groups-1", "groups-2")
+    scratch.drop("texts", "named", "mixed", "inside", "members", "star", "nodes", "links-1", "links-2", "groups-1", "groups-2")
 
     of_fp = scratch.put(grouped(reps, "rep", "component_id", found).select("fp", "component_id"), "of_fp")
     return (
