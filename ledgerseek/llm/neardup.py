@@ -12,8 +12,9 @@
 * A bucket's members are joined to its centre, the member with the fewest shingles of its
   own, i.e. the likeliest source of the others (a star, never all pairs).  The links are
   verified on full sets, first each document's most shared centre, then the other centres
-  where the groups still differ.  Only buckets that still hold members of different groups
-  get their cross-group pairs, so nothing that the stars missed is lost.
+  where the groups still differ.  For buckets that still hold members of different groups
+  :func:`cross_pairs` finds the cross-group pairs that can reach the threshold, so nothing
+  that the stars missed is lost.
 * Groups come from :func:`components` over written tables in the shared folder.
 
 Bands of 5 rows miss a pair at similarity 0.85 with probability (1 - 0.85^5)^25 < 1e-6;
@@ -161,6 +162,45 @@ def _bound(size_a: str, own_a: str, size_b: str, own_b: str, percent: int) -> st
     return f"coalesce(100 * {most} >= {percent} * ({size_a} + {size_b} - {most}), true)"
 
 
+def cross_pairs(inside: DataFrame, texts: DataFrame, scratch: Scratch, n: int, percent: int, rare: int = 8, cells: int = 16) -> DataFrame:
+    """``a, b``: the pairs of ``inside(key, id, size, g)`` from different groups that can reach the similarity.
+
+    A shingle is rare if no more than ``rare`` members have it, so all who share it are
+    known.  The pairs that share a rare shingle are listed from those shingles; all other
+    pairs have at most their frequent shingles in common, which leaves few of a bucket's
+    pairs.  Holders are found in two steps, by (shingle, cell of the id) as smallest,
+    largest and count, then by shingle: a frequent shingle never gathers its members.
+    """
+    nodes = scratch.put(inside.groupBy("id").agg(F.min("g").alias("g"), F.min("size").alias("size")), "inside-nodes")
+    some = texts.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    each = own_shingles(some, n).join(nodes.select("id", "g"), "id")
+    cell = F.pmod(F.xxhash64("id"), F.lit(cells))
+    held = each.groupBy("h", cell.alias("cell")).agg(F.min(F.struct("id", "g")).alias("lo"), F.max(F.struct("id", "g")).alias("hi"), F.count("*").alias("n"))
+    held = held.groupBy("h").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.collect_list(F.array("lo", "hi")).alias("who"))
+    held = held.where(f"n <= {rare} and most <= 2").select(F.array_distinct(F.flatten("who")).alias("who"))
+    held = scratch.put(held, "rare")
+    counts = held.select(F.explode("who").alias("x")).groupBy(F.col("x.id").alias("id")).agg(F.count("*").alias("r"))
+    nodes = scratch.put(nodes.join(counts, "id", "left").select("id", "g", "size", F.coalesce("r", F.lit(0)).alias("r")), "rare-nodes")
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("g").alias(f"g{x}"), F.col("size").alias(f"s{x}"), F.col("r").alias(f"r{x}"))
+
+    shared = held.where("size(who) > 1").select(
+        F.explode(F.expr("flatten(transform(who, x -> transform(filter(who, y -> y.id < x.id and y.g <> x.g), y -> named_struct('a', x.id, 'b', y.id))))")).alias("p")
+    )
+    shared = shared.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).join(side("a"), "a").join(side("b"), "b")
+    both = "n + least(sa - ra, sb - rb)"
+    shared = shared.where(f"coalesce(100 * ({both}) >= {percent} * (sa + sb - ({both})), true)").select("a", "b")
+
+    line = inside.select("key", "id").join(nodes, "id")
+    line = scratch.put(line.where(f"size is null or 100 * (size - r) >= {percent} * size"), "frequent")
+    close = (
+        line.select("key", F.col("id").alias("a"), F.col("g").alias("ga"), F.col("size").alias("sa"), F.col("r").alias("ra"))
+        .join(line.select("key", F.col("id").alias("b"), F.col("g").alias("gb"), F.col("size").alias("sb"), F.col("r").alias("rb")), "key")
+        .where("a > b and ga <> gb").where(_bound("sa", "ra", "sb", "rb", percent))
+        .groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
+    )
+    return shared.union(close).distinct()
+
+
 def groups(docs: DataFrame, n: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -221,16 +261,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 85, bands: int = BANDS, r
     named = scratch.put(grouped(members.select("key", "id", "size", "u"), "id", "g", found), "named")
     mixed = scratch.put(named.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key"), "mixed")
     inside = scratch.put(named.join(mixed, "key", "left_semi"), "inside")
-    rest = (
-        inside.select("key", F.col("id").alias("a"), F.col("g").alias("ga"), F.col("size").alias("sa"), F.col("u").alias("ua"))
-        .join(inside.select("key", F.col("id").alias("b"), F.col("g").alias("gb"), F.col("size").alias("sb"), F.col("u").alias("ub")), "key")
-        .where("a > b and ga <> gb").where(_bound("sa", "ua", "sb", "ub", percent))
-        .groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
-        .join(star, ["a", "b"], "left_anti")
-    )
+    rest = cross_pairs(inside, texts, scratch, n, percent).join(star, ["a", "b"], "left_anti")
     links = scratch.put(links.union(verified(rest, texts, n, percent)), "links-3")
     found = scratch.put(components(links, scratch, "cc3"), "groups-3")
-    scratch.drop("texts", "named", "mixed", "inside", "members", "star", "nodes", "links-1", "links-2", "groups-1", "groups-2")
+    scratch.drop("texts", "named", "mixed", "inside", "inside-nodes", "rare", "rare-nodes", "frequent", "members", "star", "nodes", "links-1", "links-2", "groups-1", "groups-2")
 
     of_fp = scratch.put(grouped(reps, "rep", "component_id", found).select("fp", "component_id"), "of_fp")
     return (
