@@ -90,16 +90,20 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16, dims: int = 8, bits: int = 4,
-           block: int = 1024, window_share: float = 0.015, seed: int = 7) -> DataFrame:
+           block: int = 512, window_share: float = 0.02, seed: int = 7) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found for each row of ``vectors(vec_id, embedding)`` with ``is_query``."""
     spark = vectors.sparkSession
     tune(spark)
     scratch = Scratch(spark, "ann")
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), is_query.alias("q"))
+    # single-precision input travels as it is and is widened where it is scored
+    narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    width = np.float32 if narrow else np.float64
+    e = F.col("embedding") if narrow else F.col("embedding").cast("array<double>")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"), is_query.alias("q"))
     fine = v.where(
         "vec_id is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(e, x -> x <> 0)"
     ).withColumn("d", F.size("e"))
-    facts = fine.groupBy("d").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))).alias("norm")).collect()
+    facts = fine.groupBy("d").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).alias("norm")).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not facts:
         return spark.createDataFrame([], schema)
@@ -119,7 +123,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16,
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            x = np.array(b.column(1).flatten().to_numpy(), np.float64).reshape(-1, dim)
+            own = b.column(1).flatten().to_numpy().reshape(-1, dim)
+            x = own.astype(np.float64)
             ask = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))
             length = np.linalg.norm(x, axis=1, keepdims=True)
             data = np.hstack([x, np.sqrt(np.maximum(norm**2 - length**2, 0))]) / norm
@@ -127,7 +132,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16,
             both = np.vstack([data, query])
             kind = np.repeat([0, 1], [len(data), len(query)]).astype(np.int8)
             whole = np.concatenate([ids, ids[ask]])
-            raw = [r.tobytes() for r in np.vstack([x, x[ask]])]
+            raw = [r.tobytes() for r in own] + [own[i].tobytes() for i in ask]
             for c, order in enumerate(orders):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(whole), c, np.int32)), pa.array(curve_keys(both, order, bits)), pa.array(whole), pa.array(kind), pa.array(raw, pa.binary())],
@@ -135,7 +140,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16,
                 )
 
     line = scratch.put(points.mapInArrow(keyed, "curve int, key long, id long, kind byte, vec binary"), "keyed")
-    parts = curves * n // 50_000 + 1
+    parts = curves * n // 20_000 + 1
     line = line.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id", "kind")
     line = scratch.put(line.withColumn("part", F.spark_partition_id()), "sorted")
     scratch.drop("keyed")
@@ -170,7 +175,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16,
         for b in batches:
             for qids, qvecs, ids, vecs in zip(*b.columns):
                 qi, ii = np.frombuffer(qids.as_buffer(), np.int64), np.frombuffer(ids.as_buffer(), np.int64)
-                s = np.frombuffer(qvecs.as_buffer()).reshape(-1, dim) @ np.frombuffer(vecs.as_buffer()).reshape(-1, dim).T
+                wide = lambda x: np.frombuffer(x.as_buffer(), width).reshape(-1, dim).astype(np.float64)
+                s = wide(qvecs) @ wide(vecs).T
                 s, i = _best(s, ii, take)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(qi), pa.array(list(i), pa.list_(pa.int64())), pa.array(list(s), pa.list_(pa.float64()))], ["query", "ids", "scores"]
