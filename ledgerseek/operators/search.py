@@ -1,0 +1,160 @@
+"""Search: filter, group to transactions, rank in the block, page by cursor and limit.
+
+One plan for a whole range: block range and predicate at the scan, one exchange by block
+for grouping and ranking, a top-k for a limit.  Ranks are taken over all matches of a
+block before cursor and limit cut the result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Collection
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.predicates import Fields, compile_predicate
+from ..plans import sqe
+from ..plans.bounds import PREFIX_LENGTH, Cursor
+from ..sources.bindings import Binding
+from ..sources.shards import shard_base
+
+
+@dataclass(frozen=True)
+class Query:
+    """A parsed filter; ``validate`` may raise on field names, ``rename`` and ``rewrite`` transform fields and values."""
+
+    expr: sqe.Expression
+    names: frozenset[str] = field(default_factory=frozenset)
+
+    @staticmethod
+    def of(text: str, rename: Callable[[str], str] | None = None, rewrite: Callable[[str, sqe.Literal], str] | None = None,
+           validate: Callable[[Collection[str]], None] | None = None) -> Query:
+        expr = sqe.parse(text)
+        if rename or rewrite:
+            expr = sqe.transform(expr, rename, rewrite)
+        names = frozenset(sqe.fields(expr))
+        if validate:
+            validate(names)
+        return Query(expr, names)
+
+    @property
+    def fingerprint(self) -> str:
+        return sqe.fingerprint(self.expr)
+
+    def predicate(self, fields: Fields) -> Column:
+        return compile_predicate(self.expr, fields)
+
+
+def documents(spark: SparkSession, sf_dir: str, binding: Binding, query: Query, low: int, high: int) -> DataFrame:
+    """Matching documents of ``[low, high]``."""
+    docs = binding.docs(spark, sf_dir, query.names)
+    return docs.where(F.col("block_num").between(low, high)).where(query.predicate(binding.fields))
+
+
+def transactions(docs: DataFrame, descending: bool = False) -> DataFrame:
+    """``block_num, trx_idx, trx_id, match_index, action_idxs`` of matching documents: one row for each transaction.
+
+    The exchange by block serves the grouping and the ranking; a block is bounded.
+    """
+    grouped = docs.repartition("block_num").groupBy("block_num", "trx_idx", "trx_id").agg(F.array_sort(F.collect_list("action_idx")).alias("actions"))
+    place = Window.partitionBy("block_num").orderBy(F.desc("trx_idx") if descending else F.asc("trx_idx"))
+    return grouped.select(
+        "block_num", "trx_idx", "trx_id", (F.row_number().over(place) - 1).cast("long").alias("match_index"),
+        F.array_join(F.col("actions").cast("array<string>"), ",").alias("action_idxs"),
+    )
+
+
+def prefix(c: Column | str = "trx_id") -> Column:
+    return F.substring(c, 1, PREFIX_LENGTH)
+
+
+def cursor_text(head_id: str = "") -> Column:
+    return F.concat(F.lit("1:"), F.col("block_num").cast("string"), F.lit(f":{head_id}:"), prefix())
+
+
+def after_cursor(matches: DataFrame, cursor: Cursor, descending: bool) -> DataFrame:
+    """Matches strictly behind the cursor in the direction of travel; none if its transaction doesn't match.
+
+    The anchor is looked up in the cursor's block only.
+    """
+    if not cursor.trx_prefix:
+        return matches.where(F.col("block_num") < cursor.block if descending else F.col("block_num") > cursor.block)
+    order = F.desc("trx_idx") if descending else F.asc("trx_idx")
+    anchor = matches.where(F.col("block_num") == cursor.block).where(F.col("trx_id").startswith(cursor.trx_prefix)).orderBy(order).select("trx_idx").first()
+    if anchor is None:
+        return matches.where(F.lit(False))
+    b, i = F.col("block_num"), F.col("trx_idx")
+    if descending:
+        return matches.where((b < cursor.block) | ((b == cursor.block) & (i < anchor[0])))
+    return matches.where((b > cursor.block) | ((b == cursor.block) & (i > anchor[0])))
+
+
+def in_order(matches: DataFrame, descending: bool = False) -> DataFrame:
+    to = F.desc if descending else F.asc
+    return matches.orderBy(to("block_num"), to("trx_idx"))
+
+
+def search(spark: SparkSession, sf_dir: str, binding: Binding, query: Query, low: int, high: int, descending: bool = False,
+           limit: int = 0, cursor: Cursor | None = None, archive_compat: bool = False) -> DataFrame:
+    """``block_num, trx_id_prefix, match_index, action_idxs, cursor, irr_block_num``, in traversal order."""
+    if cursor is not None:  # the page starts in the cursor's block, whose ranks need all its matches
+        low, high = (low, min(high, cursor.block)) if descending else (max(low, cursor.block), high)
+    found = transactions(documents(spark, sf_dir, binding, query, low, high), descending)
+    if cursor is not None:
+        found = after_cursor(found, cursor, descending)
+    found = in_order(found, descending)
+    if limit:
+        found = found.limit(limit)
+    rank = F.lit(0).cast("long") if archive_compat else F.col("match_index")
+    return found.select("block_num", prefix().alias("trx_id_prefix"), rank.alias("match_index"), "action_idxs", cursor_text().alias("cursor"), F.col("block_num").alias("irr_block_num"))
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What a paged search says beside its rows."""
+
+    limit_reached: bool
+    range_completed: bool
+
+
+def outcome(page: DataFrame, limit: int, covered: bool = True) -> Outcome:
+    """``limit_reached`` also when exactly ``limit`` rows existed."""
+    reached = bool(limit) and page.count() == limit
+    return Outcome(reached, covered and not reached)
+
+
+def first_matches(spark: SparkSession, sf_dir: str, binding: Binding, query: Query, low: int, high: int, limit: int, descending: bool = False, shards: int = 4) -> DataFrame:
+    """A small limit over a huge range: windows of shards, four times as wide each time, until the limit is reached."""
+    width = shards * binding.shard_size
+    out, at, left = None, (high if descending else low), limit
+    while left and low <= at <= high:
+        a, b = (max(low, at - width + 1), at) if descending else (at, min(high, at + width - 1))
+        page = search(spark, sf_dir, binding, query, a, b, descending, left).persist()
+        left -= page.count()
+        out = page if out is None else out.union(page)
+        at, width = (a - 1 if descending else b + 1), 4 * width
+    return out if out is not None else search(spark, sf_dir, binding, query, low, low, descending).where(F.lit(False))
+
+
+def undo(spark: SparkSession, sf_dir: str, binding: Binding, query: Query, blocks: list[int]) -> DataFrame:
+    """Matches of forked blocks to take back: newest block first, matches within a block backwards; ranks count forwards."""
+    docs = binding.docs(spark, sf_dir, query.names).where(F.col("block_num").isin(blocks)).where(query.predicate(binding.fields))
+    found = transactions(docs).orderBy(F.desc("block_num"), F.desc("match_index"))
+    return found.select(
+        "block_num", prefix().alias("trx_id_prefix"), "match_index", "action_idxs", F.lit(max(0, min(blocks) - 1)).cast("long").alias("irr_block_num"), F.lit(True).alias("undo")
+    )
+
+
+def empty_shards(spark: SparkSession, sf_dir: str, binding: Binding, query: Query) -> DataFrame:
+    """``query_fp, shard_size, shard_base`` of the shards that a query over the whole range finds nothing in."""
+    base = shard_base("block_num", binding.shard_size).alias("shard_base")
+    every = binding.docs(spark, sf_dir, ()).select(base).distinct()
+    hit = binding.docs(spark, sf_dir, query.names).where(query.predicate(binding.fields)).select(base).distinct()
+    return every.join(hit, "shard_base", "left_anti").select(F.lit(query.fingerprint).alias("query_fp"), F.lit(binding.shard_size).alias("shard_size"), "shard_base")
+
+
+def skipping(docs: DataFrame, empty: DataFrame, query: Query, size: int) -> DataFrame:
+    """``docs`` without the shards known to be empty for this query (an anti-join, so the list may be long)."""
+    own = empty.where((F.col("query_fp") == query.fingerprint) & (F.col("shard_size") == size)).select("shard_base")
+    return docs.withColumn("shard_base", shard_base("block_num", size)).join(own, "shard_base", "left_anti").drop("shard_base")
