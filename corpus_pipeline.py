@@ -22,8 +22,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null, no letter) or without a clear one."""
     model = langid.train(langid.learnable(docs))
-    found = langid.predict(docs, model, keep=[F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs["doc_id"]])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_LANGUAGE_SCORE)).select("__row.*")
+    return langid.accepted(docs, model, LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +49,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and whether the decoded text is the text again."""
-    encoded = pieces.encode(docs, keep=["doc_id", "text"])
-    return pieces.decode(encoded).select(
+    return pieces.round_trip(docs, keep=["doc_id", "text"]).select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
     )
 

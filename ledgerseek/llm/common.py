@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -14,14 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once inside a Python worker; numpy work arrays are a small multiple of it.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 _OWN_DIRS: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> None:
     """Session settings the operators rely on: small Arrow batches (long texts) and early removal of shuffle files."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
@@ -59,6 +60,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the machine: Python workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if release:
+        release(0)
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``limit`` bytes of ``column`` (at least one row)."""
     for batch in batches:
@@ -73,12 +82,13 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    trim()
 
 
 class WordHashes(dict):
     """64-bit hash of each word (bytes), computed once for each distinct word while it stays in the table."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)

@@ -71,7 +71,7 @@ class Model:
         """counts: language -> (three bytes before and the byte, as uint32) -> times seen."""
         self.langs = sorted(counts)
         symbols = sorted({g & 255 for c in counts.values() for g in c} | {0})
-        self.symbol = np.full(256, len(symbols), np.int64)  # the last column: bytes never seen
+        self.symbol = np.full(256, len(symbols), np.int32)  # the last column: bytes never seen
         self.symbol[symbols] = np.arange(len(symbols))
         n = len(symbols) + 1
         trees = []  # per language, per order: context -> row of counts
@@ -122,7 +122,7 @@ class Model:
         """Row of the longest known context for each three (byte classes): built once in each worker."""
         if self._ctx is None:
             n = self.width
-            table = np.zeros((n, n, n), np.int64)
+            table = np.zeros((n, n, n), np.int32)
             for i, (order, context) in enumerate(self.contexts):
                 s = [self.symbol[(context >> 8 * b) & 255] for b in range(order)]  # nearest byte first
                 if order == 1:
@@ -233,6 +233,22 @@ def predict(docs: DataFrame, model: Model, keep: list[Column | str] = ("doc_id",
     return src.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, least: float, text: str = "text", sharpness: float = 8.0) -> DataFrame:
+    """The rows of ``docs`` (all columns) with a language whose score is above ``least``."""
+    spark = docs.sparkSession
+    tune(spark)
+    at = docs.columns.index(text)
+    shipped = spark.sparkContext.broadcast(model)  # bounded by the training sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for b in by_bytes(batches, text):
+            langs, scores = m.predict(b.column(at).to_pylist(), sharpness)
+            yield b.filter(pa.array([lang != "und" and score > least for lang, score in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """The rows that training may see: doc_id's CRC-32 mod 4 is not 2."""
     return docs.where(~held_out(docs))

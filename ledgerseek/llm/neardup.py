@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, by_bytes, mix, rolling, tune
+from .common import Scratch, WordHashes, by_bytes, mix, rolling, trim, tune
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -140,6 +140,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                 if common and 100 * common >= percent * (len(own) + len(last) - common):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+        trim()
 
     return both.mapInArrow(run, "a long, b long").distinct()
 

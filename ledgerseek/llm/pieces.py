@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import by_bytes, tune
+from .common import CHUNK_BYTES, by_bytes, tune
 
 MARK = "▁"
 _RUNS = re.compile(" *[^ ]+| +$")
@@ -33,7 +33,7 @@ class ChunkCodec:
     """Distinct-chunk table over one model file."""
 
     #: Chunks in the newer of the table's two halves; the older half goes when the newer is full.
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, model: str):
         import sentencepiece
@@ -122,6 +122,26 @@ def encode(docs: DataFrame, model: str | None = None, keep: Sequence[str] = ("do
     return src.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, model: str | None = None, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep`` columns, ``ids`` as of :func:`encode` and ``decoded``, the library's decode(ids), in one pass: one
+    Python worker a task holds the model and the chunk table."""
+    tune(docs.sparkSession)
+    model = model or default_model()
+    keep = list(keep)
+    src = docs.select(*keep, docs[text].alias("__text"))
+    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for b in by_bytes(batches, "__text", CHUNK_BYTES // 2):
+            offsets, ids = c.encode(b.column(len(keep)).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            texts = c.decode([ids[a:e].tolist() for a, e in zip(offsets[:-1], offsets[1:])])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), lists, pa.array(texts, pa.string())], [*keep, "ids", "decoded"])
+
+    return src.mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """All columns of ``encoded`` and ``to``: the library's decode(ids)."""
     tune(encoded.sparkSession)

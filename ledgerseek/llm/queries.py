@@ -20,8 +20,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents"))
-    return pieces.decode(encoded).select(
+    return pieces.round_trip(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

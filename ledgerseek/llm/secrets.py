@@ -182,16 +182,17 @@ class Scanner:
         self.queries = [trigram_query(r.pattern) for r in rules]
         self.trigrams = sorted(set().union(*map(_trigrams, self.queries)))
         self.at = {t: i for i, t in enumerate(self.trigrams)}
-        self.slot = np.zeros(1 << 24, np.uint16)  # trigram as 24 bits -> its number from 1
+        self.slot = np.zeros(1 << 21, np.uint16)  # trigram of ASCII as 21 bits -> its number from 1
         for t, i in self.at.items():
             a, b, c = t.encode()
-            self.slot[a << 16 | b << 8 | c] = i + 1
+            self.slot[a << 14 | b << 7 | c] = i + 1
 
     def postings(self, texts: list[str]) -> np.ndarray:
         """(text, trigram) -> whether the text contains it."""
         raw = [t.encode("utf-8", "replace").lower() for t in texts]
-        data = np.frombuffer(b"\0".join(raw) + b"\0\0", np.uint8).astype(np.int64)
-        found = self.slot[(data[:-2] << 16) | (data[1:-1] << 8) | data[2:]]
+        data = np.frombuffer(b"\0".join(raw) + b"\0\0", np.uint8)
+        data = np.where(data < 128, data, 0).astype(np.int32)  # no trigram holds other bytes
+        found = self.slot[(data[:-2] << 14) | (data[1:-1] << 7) | data[2:]]
         places = np.flatnonzero(found)
         ends = np.cumsum([len(r) + 1 for r in raw])
         table = np.zeros((len(texts), len(self.trigrams) + 1), bool)
