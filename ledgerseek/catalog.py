@@ -201,10 +201,10 @@ def federated_union(spark, sf_dir):
 
 
 def _years(spark: SparkSession, sf_dir: str) -> list[Segment]:
-    """One archive segment for each order year (a handful of rows)."""
+    """One archive segment for each order year (a handful of rows), from the year before's last block on."""
     orders = read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.datediff("o_orderdate", F.lit("1995-01-01")).alias("b"))
     rows = orders.groupBy("y").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).orderBy("y").collect()
-    return [Segment(str(r["y"]), r["lo"] if k == 0 else r["lo"] - 1, r["hi"], r["hi"], moving_head=True) for k, r in enumerate(rows)]
+    return [Segment(str(r["y"]), rows[k - 1]["hi"] if k else r["lo"], r["hi"], r["hi"], moving_head=True) for k, r in enumerate(rows)]
 
 
 _YEARS_SQL = "y AS (SELECT year(o_orderdate) AS y, max(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))) AS hi FROM orders GROUP BY 1)"
