@@ -82,7 +82,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 1000, file_bytes: int
     body = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     digest = F.concat(F.lit("sha1-hex:"), F.col("payload_digest"))
     url = F.regexp_replace(F.coalesce("url", F.lit("urn:unknown")), r"[\x00-\x20\x7F]", "")
-    refers = F.when(revisit, F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", _urn(F.col("refers_to"), F.col("payload_digest"))))).otherwise("")
+    refers = F.when(revisit, F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", _urn(F.col("refers_to"), F.col("payload_digest"), F.lit(""))))).otherwise("")
     record = F.concat(
         F.lit("WARC/1.1"),
         line("WARC-Type", F.col("record_type")),
