@@ -105,7 +105,7 @@ class Model:
                 seen = row > 0
                 self.cost[i, :, k] = base - np.log2(distinct / (total + distinct))
                 self.cost[i, seen, k] = -np.log2(row[seen] / (total + distinct))
-        self.cost = self.cost.reshape(-1, len(self.langs))
+        self.cost = self.cost.reshape(len(self.contexts) * n, len(self.langs))
         self.width = n
         self._ctx: np.ndarray | None = None
 
