@@ -41,6 +41,8 @@ from pyspark.sql import types as T
 from .common import by_bytes, mix, tune
 
 _WORD = re.compile(r"[^\W_]+")
+#: text probed at once: each probe has a fixed cost for every item size
+PROBE_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -239,7 +241,7 @@ def matches(docs: DataFrame, bench: DataFrame, settings: Settings = Settings(),
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             index = Index(*shipped.value)
-            for b in by_bytes(batches, "text"):
+            for b in by_bytes(batches, "text", PROBE_BYTES):
                 ids = b.column(0).to_pylist()
                 rows = [(i, index.items[k][0], len(index.items[k][1]), *m) for i, found in zip(ids, index.probe(b.column(1).to_pylist())) for k, *m in found]
                 if rows:
@@ -261,7 +263,7 @@ def clean(docs: DataFrame, bench: DataFrame, settings: Settings = Settings(), bl
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             index = Index(*shipped.value)
-            for b in by_bytes(batches, "text"):
+            for b in by_bytes(batches, "text", PROBE_BYTES):
                 yield b.filter(pa.array([not found for found in index.probe(b.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
