@@ -125,21 +125,28 @@ class Index:
     def keys(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
         """(tables, windows) sampled keys of one walk over windows of the given starts and sizes."""
         words = self.random_word[text]
-        number = np.searchsorted(self.sizes, sizes)
-        wanted = self.samples[number, walk]  # (windows, tables, sample)
-        trace = np.zeros((int(wanted.max()) + 1, len(starts)), np.uint64)
+        wanted = self.samples[np.searchsorted(self.sizes, sizes), walk]  # (windows, tables, sample)
+        # windows in falling order of their last wanted step: those still walking are the first ones
+        last = wanted.max((1, 2))
+        order = np.argsort(-last, kind="stable")
+        starts, sizes, wanted = starts[order], sizes[order], wanted[order]
+        going = np.searchsorted(-last[order], -np.arange(int(last.max()) + 1), "right")
+        trace = np.zeros((len(going), len(starts)), np.uint64)
         at = np.zeros(len(starts), np.int64)
-        for step in range(len(trace)):
-            inside = at < sizes
-            seen = np.where(inside, words[np.minimum(starts + at, len(words) - 1)], np.uint64(0))
-            trace[step] = seen
-            at += ((seen * self.steps[walk, step]) >> np.uint64(63)).astype(np.int64) & inside
+        for step, m in enumerate(going.tolist()):
+            here = at[:m]
+            inside = here < sizes[:m]
+            seen = np.where(inside, words[np.minimum(starts[:m] + here, len(words) - 1)], np.uint64(0))
+            trace[step, :m] = seen
+            here += ((seen * self.steps[walk, step]) >> np.uint64(63)).astype(np.int64) & inside
         line = np.arange(len(starts))
         out = np.tile(mix(sizes.astype(np.uint64)), (self.s.tables, 1))
         for t in range(self.s.tables):
             for k in range(self.s.sample):
                 out[t] = mix(out[t] ^ trace[wanted[:, t, k], line])
-        return out
+        back = np.empty_like(out)
+        back[:, order] = out
+        return back
 
     def probe(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item number, distance, start word, end word), one for each contaminating item."""
@@ -153,7 +160,7 @@ class Index:
         gap = np.zeros(pad, np.int64)
         for w in cut:
             firsts.append(total)
-            parts += [np.array(list(map(get, w, repeat(0))), np.int64), gap]
+            parts += [np.fromiter(map(get, w, repeat(0)), np.int64, len(w)), gap]
             total += len(w) + pad
         text = np.concatenate(parts)
         known = (text[:-1] > 0) & (text[1:] > 0)
