@@ -17,6 +17,9 @@ from ledgerseek.llm.common import Scratch
 
 #: A document whose best language has no more than this share of the code-length score is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Similarity in percent from which the near_dedup stage links documents (op3's contract is 85), and its bands of rows:
+#: a pair at exactly 0.80 shares fewer than two of them with probability below 1e-5.
+NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 28, 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group the document with the smallest doc_id, once; rows without a doc_id all stay."""
-    groups = neardup.groups(docs)
+    groups = neardup.groups(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS)
     kept = Scratch(spark, "pipeline").put(groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).groupBy("__kept").count(), "kept")
     same = F.col("__kept") == F.col("doc_id").cast("long")
     named = docs.join(kept.select("__kept"), same, "left_semi")

@@ -377,3 +377,17 @@ def test_pipeline(spark, awkward):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         frame = stage(spark, frame, SF)
         assert frame.columns == awkward.columns, name
+
+
+def test_pipeline_links_from_80(spark):
+    """Pairs at exactly 0.80, between 0.80 and 0.85, and below 0.80; then the texts of the smallest table against brute force."""
+    rows = []
+    for k, b in enumerate((8, 9, 10, 11, 12)):  # 90 shingles each, the last b of them different: (90 - b) / (90 + b) = 0.84, 0.82, 0.80, 0.78, 0.76
+        one = [f"p{k}w{j}" for j in range(94)]
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(one[: 94 - b] + [f"p{k}x{j}" for j in range(b)]))]
+    rows += [(1000 + i, t) for i, t in texts(spark)]
+    whole = spark.createDataFrame([(i, t, "en", "src", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, whole, SF).select("doc_id").collect())
+    want = brute_groups(rows, 80)
+    assert kept == sorted(i for i, _, c in want.elements() if i == c) and [i for i in kept if i < 10] == [0, 2, 4, 6, 7, 8, 9]
+    assert len(kept) < sum(i == c for i, _, c in brute_groups(rows).elements())
