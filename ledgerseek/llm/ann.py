@@ -2,16 +2,19 @@
 
 1. Equal vectors collapse to one with its ``k + 1`` smallest ids (a window with a group
    limit, so a vector that a third of all rows share ships few rows a task).
-2. Inner product becomes distance on a sphere: rows gain a last coordinate that lifts all
-   to the largest norm, queries gain a zero.  Each of ``curves`` orderings rotates,
-   projects to ``dims`` coordinates, shifts at random and takes the Hilbert index.
+2. Distinct vectors are cut into ranges of norm, so that a long one doesn't squeeze the
+   others into few cells.  A range spans a factor of ``spread`` at most, or one block.
+   Inner product becomes distance on a sphere: rows gain a last coordinate that lifts all
+   to the largest norm of their range, queries gain a zero and enter every range.  Each of
+   ``curves`` orderings rotates, projects to ``dims`` coordinates, shifts at random and
+   takes the Hilbert index; a range's orderings are curves of their own.
 3. (curve, key) is range-partitioned and sorted by Spark.  Ranks follow from the counts of
    the sorted partitions; rows are packed in blocks of ``block`` ranks.
 4. Queries meet the blocks within ``window`` ranks of their own on every curve and are
    scored there on original vectors in double precision; each pair of blocks yields the
    best few of each query, merged and re-ranked at the end.
 
-The window is ``window_share`` of the distinct rows on each side (at least one block):
+The window is ``window_share`` of a range's rows on each side (at least one block):
 vectors of high intrinsic dimension need windows in proportion to the data.  Blocks bound
 memory at any size.  Recall is measured in the tests against brute force.
 
@@ -76,6 +79,21 @@ def curve_keys(unit: np.ndarray, order: tuple[np.ndarray, np.ndarray], bits: int
     return hilbert(np.clip(cells, 0, (1 << bits) - 1).astype(np.int64), bits)
 
 
+def norm_ranges(bins: list[tuple[float, float, int]], spread: float, block: int) -> list[tuple[float, float, int]]:
+    """(least norm, largest norm, rows) of each range, longest first, from those of narrow bins of norm.
+
+    A range takes the next bin while its norms stay within ``spread``, or while its rows fit
+    in one block, which every window covers.
+    """
+    out: list[tuple[float, float, int]] = []
+    for low, high, n in sorted(bins, reverse=True):
+        if out and (out[-1][1] <= spread * low or out[-1][2] + n <= block):
+            out[-1] = (low, out[-1][1], out[-1][2] + n)
+        else:
+            out.append((low, high, n))
+    return out
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row-wise the k best (score, id), best first, ties to the smaller id."""
     if scores.shape[1] > k:
@@ -90,7 +108,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16, dims: int = 8, bits: int = 4,
-           block: int = 512, window_share: float = 0.02, seed: int = 7) -> DataFrame:
+           block: int = 512, window_share: float = 0.02, seed: int = 7, spread: float = 1.25) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found for each row of ``vectors(vec_id, embedding)`` with ``is_query``."""
     spark = vectors.sparkSession
     tune(spark)
@@ -103,11 +121,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16,
     fine = v.where(
         "vec_id is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(e, x -> x <> 0)"
     ).withColumn("d", F.size("e"))
-    facts = fine.groupBy("d").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).alias("norm")).collect()
+    facts = fine.groupBy("d").agg(F.count("*").alias("n")).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not facts:
         return spark.createDataFrame([], schema)
-    dim, norm = max(((r["n"], r["d"], r["norm"]) for r in facts))[1:]
+    dim = max((r["n"], r["d"]) for r in facts)[1]
     fine = fine.where(F.col("d") == dim).select("vec_id", "e", F.coalesce("q", F.lit(False)).alias("q"))
 
     # Distinct vectors by their smallest id, with the k + 1 smallest ids.
@@ -116,7 +134,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16,
     distinct = scratch.put(few.groupBy("e").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("rep", F.array_min("ids")), "distinct")
     asking = scratch.put(fine.where("q").select("vec_id", "e").distinct().join(distinct.select("e", "rep"), "e").select(F.col("vec_id").alias("query_id"), "rep"), "asking")
     n = distinct.count()
-    reach = max(1, -(-int(np.ceil(window_share * n)) // block))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    bins = distinct.select(norm.alias("norm")).groupBy(F.floor(F.log("norm") / float(np.log(spread) / 8))).agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.count("*").alias("n"))
+    ranges = norm_ranges([(r["low"], r["high"], r["n"]) for r in bins.collect()], spread, block)  # bounded by the exponents of a float
+    lows, highs = (np.array([r[at] for r in ranges]) for at in (0, 1))
+    reaches = [max(1, -(-int(np.ceil(window_share * r[2])) // block)) for r in ranges]
     orders = orderings(dim, curves, dims, seed)
     points = distinct.select("rep", "e").join(asking.select("rep").distinct().withColumn("q", F.lit(True)), "rep", "left")
 
@@ -127,17 +149,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16,
             x = own.astype(np.float64)
             ask = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))
             length = np.linalg.norm(x, axis=1, keepdims=True)
-            data = np.hstack([x, np.sqrt(np.maximum(norm**2 - length**2, 0))]) / norm
             query = np.hstack([x[ask] / length[ask], np.zeros((len(ask), 1))])
-            both = np.vstack([data, query])
-            kind = np.repeat([0, 1], [len(data), len(query)]).astype(np.int8)
-            whole = np.concatenate([ids, ids[ask]])
-            raw = [r.tobytes() for r in own] + [own[i].tobytes() for i in ask]
-            for c, order in enumerate(orders):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(whole), c, np.int32)), pa.array(curve_keys(both, order, bits)), pa.array(whole), pa.array(kind), pa.array(raw, pa.binary())],
-                    ["curve", "key", "id", "kind", "vec"],
-                )
+            of = np.minimum((length < lows).sum(1), len(ranges) - 1)
+            for g, norm in enumerate(highs):
+                at = np.flatnonzero(of == g)
+                data = np.hstack([x[at], np.sqrt(np.maximum(norm**2 - length[at] ** 2, 0))]) / norm
+                both = np.vstack([data, query])
+                if not len(both):
+                    continue
+                kind = np.repeat([0, 1], [len(data), len(query)]).astype(np.int8)
+                whole = np.concatenate([ids[at], ids[ask]])
+                raw = [own[i].tobytes() for i in at] + [own[i].tobytes() for i in ask]
+                for c, order in enumerate(orders):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(whole), g * curves + c, np.int32)), pa.array(curve_keys(both, order, bits)), pa.array(whole), pa.array(kind), pa.array(raw, pa.binary())],
+                        ["curve", "key", "id", "kind", "vec"],
+                    )
 
     line = scratch.put(points.mapInArrow(keyed, "curve int, key long, id long, kind byte, vec binary"), "keyed")
     parts = curves * n // 20_000 + 1
@@ -167,6 +194,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16,
 
     blocks = scratch.put(line.groupBy("curve", "part").applyInArrow(packed, "curve int, block long, ids binary, vecs binary, qids binary, qvecs binary"), "blocks")
     scratch.drop("sorted")
+    reach = F.element_at(F.array(*map(F.lit, reaches)), (F.col("curve") / curves).cast("int") + 1)
     ask = blocks.where("length(qids) > 0").select("curve", "qids", "qvecs", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"))
     met = ask.join(blocks.where("length(ids) > 0").select("curve", "block", "ids", "vecs"), ["curve", "block"]).select("qids", "qvecs", "ids", "vecs")
     take = k + 1

@@ -304,6 +304,29 @@ def test_nearest_recall(spark):
     assert np.mean(hit) >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["one of 10", "lognormal"])
+def test_nearest_recall_with_norms(spark, norms):
+    rng = np.random.default_rng(11)
+    e = rng.normal(size=(60, 64))[rng.integers(0, 60, 6000)] + 0.7 * rng.normal(size=(6000, 64))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    if norms == "lognormal":
+        e *= np.exp(0.5 * rng.normal(size=(6000, 1)))
+    else:
+        e[77] *= 10
+    e = e.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, block=32).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = []
+    for q in range(0, 6000, 20):
+        s = e @ e[q]
+        s[q] = -np.inf
+        hit.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    print(norms, np.mean(hit))
+    assert np.mean(hit) >= 0.9
+
+
 def test_curve_is_a_walk():
     side = np.stack(np.meshgrid(*[np.arange(4)] * 3), -1).reshape(-1, 3)
     order = side[np.argsort(ann.hilbert(side, 2))]
