@@ -3,30 +3,35 @@
 1. Equal vectors collapse to one with its ``k + 1`` smallest ids (a window with a group
    limit, so a vector that a third of all rows share ships few rows a task).
 2. Distinct vectors are cut into ranges of norm, so that a long one doesn't squeeze the
-   others into few cells.  A range spans a factor of ``spread`` at most, or one block.
-   Inner product becomes distance on a sphere: rows gain a last coordinate that lifts all
-   to the largest norm of their range, queries gain a zero and enter every range.  Each of
-   ``curves`` orderings rotates, projects to ``dims`` coordinates, shifts at random and
+   others into few cells.  A range spans a factor of ``spread`` at most, or ``least_block``
+   rows.  Inner product becomes distance on a sphere: rows gain a last coordinate that lifts
+   all to the largest norm of their range, queries gain a zero and enter every range.  Each
+   of ``curves`` orderings rotates, projects to ``dims`` coordinates, shifts at random and
    takes the Hilbert index; a range's orderings are curves of their own.
-3. (curve, key) is range-partitioned and sorted by Spark.  Ranks follow from the counts of
-   the sorted partitions; rows are packed in blocks of ``block`` ranks.
-4. Queries meet the blocks within ``window`` ranks of their own on every curve and are
-   scored there on original vectors in double precision; each pair of blocks yields the
-   best few of each query, merged and re-ranked at the end.
-
-The window is ``window_share`` of a range's rows on each side (at least one block):
-vectors of high intrinsic dimension need windows in proportion to the data.  Blocks bound
-memory at any size.  Recall is measured in the tests against brute force.
+3. (curve, key) is range-partitioned and sorted by Spark, without the vectors.  Ranks follow
+   from the counts of the sorted partitions, joined as a table.
+4. *Window.*  It is fitted, not set: for ``sample`` queries of lowest hash (a documented
+   bound) the exact neighbours are found by one pass over all rows, and the window is the
+   least rank distance, on the nearest of the curves, that reaches a share ``target`` of
+   them.  The number of curves is the one of 4, 8 and ``curves`` that is cheapest at
+   that.  Data of low intrinsic dimension get windows of a few rows whatever their number; data
+   without structure (isotropic vectors of many dimensions) get windows in proportion to the rows,
+   and a range whose windows would cost more than all its rows is scanned whole, in blocks.
+5. Vectors travel to (curve, block of ranks) once for each curve, queries to the blocks that
+   their window meets; blocks that no query meets stay away.  Blocks are scored on original vectors in double
+   precision; each yields the best few of each query, merged and re-ranked at the end.  Queries of
+   one block are split in chunks, so a task's memory is bounded wherever they crowd.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components or
 have another length than most take no part; fewer candidates than ``k`` -> all of them;
 ties go to the smaller vec_id; rows that repeat a vec_id with one vector count once; an
-empty table gives no rows.
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, tune
 
+#: queries that meet one block of rows at once
+CHUNK = 16_384
+#: most rows of a block
+WIDEST = 4096
+
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     """Hilbert index (int64) of integer points (rows) with ``bits`` bits a coordinate (Skilling 2004)."""
@@ -107,130 +117,292 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16, dims: int = 8, bits: int = 4,
-           block: int = 512, window_share: float = 0.02, seed: int = 7, spread: float = 1.25) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest found for each row of ``vectors(vec_id, embedding)`` with ``is_query``."""
+@dataclass(frozen=True)
+class Reach:
+    """How one range is read: on its first ``curves`` curves, ``around`` blocks on either side of a query's own; ``whole``: all blocks of one curve."""
+
+    curves: int
+    around: int
+    whole: bool
+
+
+@dataclass(frozen=True)
+class Fit:
+    """Window and block in ranks, and how each range is read."""
+
+    window: int
+    block: int
+    ranges: tuple[Reach, ...]
+    #: rows scored for each query, all curves and ranges
+    candidates: int
+
+
+def fit_window(distances: np.ndarray, sizes: list[int], target: float, least_block: int) -> Fit:
+    """The cheapest of 4, 8, ... and all curves whose windows hold a share ``target`` of the sample's neighbours.
+
+    ``distances``: (neighbours of the sample, curves) rank distances.
+    """
+    best = None
+    most = distances.shape[1]
+    for c in sorted({min(most, x) for x in (4, 8, most)}):
+        near = np.sort(distances[:, :c].min(1))
+        window = int(near[min(len(near) - 1, int(np.ceil(target * len(near))) - 1)]) if len(near) else 0
+        block = int(min(WIDEST, max(least_block, -(-window // 4))))
+        around = max(1, -(-window // block))
+        own = [Reach(1, 0, True) if c * (2 * around + 1) * block >= n else Reach(c, around, False) for n in sizes]
+        cost = sum(n if r.whole else c * (2 * around + 1) * block for n, r in zip(sizes, own))
+        if best is None or cost < best.candidates:
+            best = Fit(window, block, tuple(own), cost)
+    return best
+
+
+def _top(q: np.ndarray, i: np.ndarray, s: np.ndarray, take: int) -> np.ndarray:
+    """Places of the best ``take`` rows (q, i, s) of each q, each i once, best first, ties to the smaller i."""
+    order = np.lexsort((-s, i, q))
+    once = np.append(True, (np.diff(q[order]) != 0) | (np.diff(i[order]) != 0))
+    order = order[once]
+    order = order[np.lexsort((i[order], -s[order], q[order]))]
+    first = np.flatnonzero(np.append(True, np.diff(q[order]) != 0))
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[place < take]
+
+
+def _scores(ask: np.ndarray, data: np.ndarray, ids: np.ndarray, take: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first query, scores, ids): the best of ``data`` for slices of ``ask``, whose score tables hold about a million numbers."""
+    step = max(1, 1_000_000 // max(1, len(data)))
+    for a in range(0, len(ask), step):
+        yield a, *_best(ask[a : a + step] @ data.T, ids, take)
+
+
+def _spread(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for q, s, i in rows:
+        n = s.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(i.reshape(-1)), pa.array(s.reshape(-1))], ["query", "id", "score"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups out of batches sorted by ``by``."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in by], 1)
+        if held:
+            last = np.array([held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() for c in by])
+            cuts = [0] if (keys[0] != last).any() else []
+        else:
+            cuts = []
+        cuts += (np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()
+        at = 0
+        for cut in cuts:
+            if cut > at:
+                held.append(b.slice(at, cut - at))
+            yield pa.Table.from_batches(held)
+            held, at = [], cut
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+
+
+class _Space:
+    """Distinct vectors of one table, their norm ranges and their curves."""
+
+    def __init__(self, vectors: DataFrame, is_query: Column, k: int, scratch: Scratch):
+        self.spark, self.scratch, self.k = vectors.sparkSession, scratch, k
+        # single-precision input travels as it is and is widened where it is scored
+        narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+        e = F.col("embedding") if narrow else F.col("embedding").cast("array<double>")
+        v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"), is_query.alias("q"))
+        fine = v.where(
+            "vec_id is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(e, x -> x <> 0)"
+        ).withColumn("d", F.size("e"))
+        lengths = fine.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+        self.dim = lengths["d"] if lengths else 0
+        fine = fine.where(F.col("d") == self.dim).select("vec_id", "e", F.coalesce("q", F.lit(False)).alias("q"))
+        # Distinct vectors by their smallest id, with the k + 1 smallest ids.
+        same = Window.partitionBy("e").orderBy("vec_id")
+        few = fine.select("e", "vec_id").withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+        self.distinct = scratch.put(few.groupBy("e").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("rep", F.array_min("ids")), "distinct")
+        asking = fine.where("q").select("vec_id", "e").distinct().join(self.distinct.select("e", "rep"), "e")
+        self.asking = scratch.put(asking.select(F.col("vec_id").alias("query_id"), "rep"), "asking")
+        asked = self.asking.select("rep").distinct().withColumn("q", F.lit(True))
+        self.points = scratch.put(self.distinct.select("rep", "e").join(asked, "rep", "left").select(F.col("rep").alias("id"), "e", F.coalesce("q", F.lit(False)).alias("q")), "points")
+
+    def ranges(self, spread: float, least: int) -> list[tuple[float, float, int]]:
+        norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+        bins = self.points.select(norm.alias("norm")).groupBy(F.floor(F.log("norm") / float(np.log(spread) / 8)))
+        bins = bins.agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.count("*").alias("n"))
+        return norm_ranges([(r["low"], r["high"], r["n"]) for r in bins.collect()], spread, least)  # bounded by the exponents of a float
+
+    def ranked(self, ranges: list[tuple[float, float, int]], curves: int, dims: int, bits: int, seed: int) -> DataFrame:
+        """``curve, id, kind, rank``: 0 a row, 1 a query; a query's rank is that of the next row."""
+        lows, highs = (np.array([r[at] for r in ranges]) for at in (0, 1))
+        orders, dim = orderings(self.dim, curves, dims, seed), self.dim
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                ids, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
+                ask = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
+                length = np.linalg.norm(x, axis=1, keepdims=True)
+                query = np.hstack([x[ask] / length[ask], np.zeros((len(ask), 1))])
+                of = np.minimum((length < lows).sum(1), len(ranges) - 1)
+                for g, norm in enumerate(highs):
+                    at = np.flatnonzero(of == g)
+                    both = np.vstack([np.hstack([x[at], np.sqrt(np.maximum(norm**2 - length[at] ** 2, 0))]) / norm, query])
+                    if not len(both):
+                        continue
+                    kind = pa.array(np.repeat([0, 1], [len(at), len(ask)]).astype(np.int8))
+                    whole = pa.array(np.concatenate([ids[at], ids[ask]]))
+                    for c, order in enumerate(orders):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(both), g * curves + c, np.int32)), pa.array(curve_keys(both, order, bits)), whole, kind], ["curve", "key", "id", "kind"]
+                        )
+
+        rows = curves * sum(r[2] for r in ranges)
+        line = self.scratch.put(self.points.mapInArrow(keyed, "curve int, key long, id long, kind byte"), "keyed")
+        line = line.repartitionByRange(rows // 250_000 + 1, "curve", "key", "id").withColumn("part", F.spark_partition_id())
+        line = self.scratch.put(line, "parts")
+        self.scratch.drop("keyed")
+        # One count for each (curve, partition): offsets of the ranks.
+        counts = line.groupBy("curve", "part").agg(F.sum(1 - F.col("kind")).alias("n"))
+        before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        within = Window.partitionBy("curve", "part").orderBy("key", "id", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rank = F.col("start") + F.sum(1 - F.col("kind")).over(within) - (1 - F.col("kind"))
+        out = self.scratch.put(line.join(starts, ["curve", "part"]).select("curve", "id", "kind", rank.cast("long").alias("rank")), "ranked")
+        self.scratch.drop("parts")
+        return out
+
+    def exact(self, sample: int) -> list[tuple[int, int]]:
+        """(query, neighbour) pairs of ``sample`` queries, by one pass over all rows."""
+        some = self.points.where("q").orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "e").collect()
+        ids = np.array([r["id"] for r in some], np.int64)
+        asked, take, dim = np.array([r["e"] for r in some], np.float64).reshape(-1, self.dim), self.k + 1, self.dim
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows():
+                for b in batches:
+                    if b.num_rows:
+                        for a, s, i in _scores(asked, _matrix(b.column(1), dim), b.column(0).to_numpy(), take):
+                            yield ids[a : a + len(s)], s, i
+
+            held: list[pa.RecordBatch] = []
+            for b in _spread(rows()):
+                held.append(b)
+                if sum(x.num_rows for x in held) > 2_000_000:
+                    held = [_reduced(held, take)]
+            if held:
+                yield _reduced(held, take)
+
+        found = self.points.select("id", "e").mapInArrow(scan, "query long, id long, score double")
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+        found = found.withColumn("place", place).where(F.col("place") <= take).where("query <> id").where(F.col("place") <= take)
+        return [(r["query"], r["id"]) for r in found.select("query", "id").collect()]  # at most sample * (k + 1) rows
+
+    def distances(self, ranked: DataFrame, pairs: list[tuple[int, int]], curves: int) -> np.ndarray:
+        """(pairs, curves) distances of rank, in the neighbour's range."""
+        if not pairs:
+            return np.empty((0, curves))
+        table = F.broadcast(self.spark.createDataFrame(pairs, "query long, id long"))  # bounded by the sample
+        own = ranked.where("kind = 0").join(table, "id").select("curve", "query", "id", F.col("rank").alias("r"))
+        asks = ranked.where("kind = 1").join(F.broadcast(table.select("query").distinct()), F.col("id") == F.col("query"), "left_semi")
+        asks = asks.select("curve", F.col("id").alias("query"), F.col("rank").alias("at"))
+        got = own.join(asks, ["curve", "query"]).select("query", "id", (F.col("curve") % curves).alias("c"), F.abs(F.col("r") - F.col("at")).alias("d")).toArrow()
+        line = {p: i for i, p in enumerate(pairs)}
+        out = np.full((len(pairs), curves), np.inf)
+        for q, i, c, d in zip(*(got[n].to_pylist() for n in ("query", "id", "c", "d"))):
+            out[line[q, i], c] = d
+        return out
+
+
+def _reduced(batches: list[pa.RecordBatch], take: int) -> pa.RecordBatch:
+    """The best of each query in ``batches(query, id, score)``."""
+    q, i, s = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in range(3))
+    at = _top(q, i, s, take)
+    return pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(i[at]), pa.array(s[at])], ["query", "id", "score"])
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16, dims: int = 8, bits: int = 4, least_block: int = 64,
+            target: float = 0.93, sample: int = 256, seed: int = 7, spread: float = 1.25, report: list[Fit] | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k nearest found for each row of ``vectors(vec_id, embedding)`` with ``is_query``.
+
+    ``report`` receives the fitted window.
+    """
     spark = vectors.sparkSession
     tune(spark)
     scratch = Scratch(spark, "ann")
-    # single-precision input travels as it is and is widened where it is scored
-    narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
-    width = np.float32 if narrow else np.float64
-    e = F.col("embedding") if narrow else F.col("embedding").cast("array<double>")
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"), is_query.alias("q"))
-    fine = v.where(
-        "vec_id is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(e, x -> x <> 0)"
-    ).withColumn("d", F.size("e"))
-    facts = fine.groupBy("d").agg(F.count("*").alias("n")).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not facts:
-        return spark.createDataFrame([], schema)
-    dim = max((r["n"], r["d"]) for r in facts)[1]
-    fine = fine.where(F.col("d") == dim).select("vec_id", "e", F.coalesce("q", F.lit(False)).alias("q"))
-
-    # Distinct vectors by their smallest id, with the k + 1 smallest ids.
-    same = Window.partitionBy("e").orderBy("vec_id")
-    few = fine.select("e", "vec_id").withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
-    distinct = scratch.put(few.groupBy("e").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("rep", F.array_min("ids")), "distinct")
-    asking = scratch.put(fine.where("q").select("vec_id", "e").distinct().join(distinct.select("e", "rep"), "e").select(F.col("vec_id").alias("query_id"), "rep"), "asking")
-    n = distinct.count()
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    bins = distinct.select(norm.alias("norm")).groupBy(F.floor(F.log("norm") / float(np.log(spread) / 8))).agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.count("*").alias("n"))
-    ranges = norm_ranges([(r["low"], r["high"], r["n"]) for r in bins.collect()], spread, block)  # bounded by the exponents of a float
-    lows, highs = (np.array([r[at] for r in ranges]) for at in (0, 1))
-    reaches = [max(1, -(-int(np.ceil(window_share * r[2])) // block)) for r in ranges]
-    orders = orderings(dim, curves, dims, seed)
-    points = distinct.select("rep", "e").join(asking.select("rep").distinct().withColumn("q", F.lit(True)), "rep", "left")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            own = b.column(1).flatten().to_numpy().reshape(-1, dim)
-            x = own.astype(np.float64)
-            ask = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))
-            length = np.linalg.norm(x, axis=1, keepdims=True)
-            query = np.hstack([x[ask] / length[ask], np.zeros((len(ask), 1))])
-            of = np.minimum((length < lows).sum(1), len(ranges) - 1)
-            for g, norm in enumerate(highs):
-                at = np.flatnonzero(of == g)
-                data = np.hstack([x[at], np.sqrt(np.maximum(norm**2 - length[at] ** 2, 0))]) / norm
-                both = np.vstack([data, query])
-                if not len(both):
-                    continue
-                kind = np.repeat([0, 1], [len(data), len(query)]).astype(np.int8)
-                whole = np.concatenate([ids[at], ids[ask]])
-                raw = [own[i].tobytes() for i in at] + [own[i].tobytes() for i in ask]
-                for c, order in enumerate(orders):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(whole), g * curves + c, np.int32)), pa.array(curve_keys(both, order, bits)), pa.array(whole), pa.array(kind), pa.array(raw, pa.binary())],
-                        ["curve", "key", "id", "kind", "vec"],
-                    )
-
-    line = scratch.put(points.mapInArrow(keyed, "curve int, key long, id long, kind byte, vec binary"), "keyed")
-    parts = curves * n // 20_000 + 1
-    line = line.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id", "kind")
-    line = scratch.put(line.withColumn("part", F.spark_partition_id()), "sorted")
-    scratch.drop("keyed")
-    # One count for each (curve, partition): offsets of the ranks.
-    counts = line.where("kind = 0").groupBy("curve", "part").agg(F.count("*").alias("n"))
-    starts = counts.withColumn("start", F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    starts = {(r["curve"], r["part"]): r["start"] or 0 for r in starts.collect()}  # at most partitions + curves rows
-
-    def packed(key: tuple, table: pa.Table) -> pa.Table:
-        """Blocks of one curve in one sorted partition, whose rows are few thousand."""
-        curve, part = key[0].as_py(), key[1].as_py()
-        table = table.sort_by([("key", "ascending"), ("id", "ascending"), ("kind", "ascending")])
-        kind, ids = table["kind"].to_numpy(), table["id"].to_numpy()
-        rank = starts.get((curve, part), 0) + np.cumsum(kind == 0) - (kind == 0)
-        of = rank // block
-        vec = [x.as_buffer() for x in table["vec"]]
-        out = []
-        for j in np.unique(of):
-            data, ask = np.flatnonzero((of == j) & (kind == 0)), np.flatnonzero((of == j) & (kind == 1))
-            join = lambda at: b"".join(vec[i] for i in at)
-            out.append((curve, int(j), ids[data].tobytes(), join(data), ids[ask].tobytes(), join(ask)))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["curve", "block", "ids", "vecs", "qids", "qvecs"])
-
-    blocks = scratch.put(line.groupBy("curve", "part").applyInArrow(packed, "curve int, block long, ids binary, vecs binary, qids binary, qvecs binary"), "blocks")
-    scratch.drop("sorted")
-    reach = F.element_at(F.array(*map(F.lit, reaches)), (F.col("curve") / curves).cast("int") + 1)
-    ask = blocks.where("length(qids) > 0").select("curve", "qids", "qvecs", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"))
-    met = ask.join(blocks.where("length(ids) > 0").select("curve", "block", "ids", "vecs"), ["curve", "block"]).select("qids", "qvecs", "ids", "vecs")
-    take = k + 1
+    space = _Space(vectors, is_query, k, scratch)
+    if not space.dim:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    ranges = space.ranges(spread, least_block)
+    ranked = space.ranked(ranges, curves, dims, bits, seed)
+    fit = fit_window(space.distances(ranked, space.exact(sample), curves), [r[2] for r in ranges], target, least_block)
+    if report is not None:
+        report.append(fit)
+
+    # Every (curve, block) that is read, for each chunk of the queries that meet it.
+    spot = [(g, r.curves, r.around, r.whole, -(-ranges[g][2] // fit.block)) for g, r in enumerate(fit.ranges)]
+    known = F.broadcast(spark.createDataFrame(spot, "g int, used int, around int, whole boolean, blocks long"))  # one row a range
+    line = ranked.withColumn("g", F.floor(F.col("curve") / curves).cast("int")).join(known, "g").where(F.col("curve") % curves < F.col("used"))
+    line = line.withColumn("block", F.least(F.floor(F.col("rank") / fit.block), F.col("blocks") - 1))
+    asks = line.where("kind = 1").withColumn("width", F.when(F.col("whole"), F.col("blocks")).otherwise(2 * F.col("around") + 1))
+    crowd = asks.groupBy("curve", "block").agg(F.ceil(F.count("*") * F.max("width") / CHUNK).alias("chunks"))
+    low = F.when(F.col("whole"), 0).otherwise(F.greatest(F.col("block") - F.col("around"), F.lit(0)))
+    high = F.when(F.col("whole"), F.col("blocks") - 1).otherwise(F.least(F.col("block") + F.col("around"), F.col("blocks") - 1))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    asks = asks.join(crowd, ["curve", "block"]).where(F.col("blocks") > 0).select("curve", chunk.alias("chunk"), "id", F.explode(F.sequence(low, high)).alias("block"))
+    asks = scratch.put(asks, "asks")
+    needed = asks.select("curve", "block", "chunk").distinct()
+    rows = line.where("kind = 0").select("curve", "block", "id").join(needed, ["curve", "block"])
+    both = rows.select("curve", "block", "chunk", F.lit(0).alias("kind"), "id").union(asks.select("curve", "block", "chunk", F.lit(1).alias("kind"), "id"))
+    by = ["curve", "block", "chunk"]
+    sent = both.join(space.points.select("id", "e"), "id").repartition(*by).sortWithinPartitions(*by)
+    take, dim = k + 1, space.dim
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for qids, qvecs, ids, vecs in zip(*b.columns):
-                qi, ii = np.frombuffer(qids.as_buffer(), np.int64), np.frombuffer(ids.as_buffer(), np.int64)
-                wide = lambda x: np.frombuffer(x.as_buffer(), width).reshape(-1, dim).astype(np.float64)
-                s = wide(qvecs) @ wide(vecs).T
-                s, i = _best(s, ii, take)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qi), pa.array(list(i), pa.list_(pa.int64())), pa.array(list(s), pa.list_(pa.float64()))], ["query", "ids", "scores"]
-                )
-
-    def merged(key: tuple, table: pa.Table) -> pa.Table:
-        """The best of a bucket's queries, each candidate once."""
-        sizes = pa.compute.list_value_length(table["ids"]).to_numpy()
-        q = np.repeat(table["query"].to_numpy(), sizes)
-        i, s = table["ids"].combine_chunks().flatten().to_numpy(), table["scores"].combine_chunks().flatten().to_numpy()
-        order = np.lexsort((-s, i, q))
-        q, i, s = q[order], i[order], s[order]
-        once = np.append(True, (q[1:] != q[:-1]) | (i[1:] != i[:-1]))
-        q, i, s = q[once], i[once], s[once]
-        order = np.lexsort((i, -s, q))
-        q, i, s = q[order], i[order], s[order]
-        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        keep = place < take
-        return pa.table({"query": q[keep], "id": i[keep], "score": s[keep]})
-
-    near = met.mapInArrow(scored, "query long, ids array<long>, scores array<double>")
-    buckets = max(1, n // 500)
-    near = near.groupBy(F.pmod(F.xxhash64("query"), F.lit(buckets)).alias("b")).applyInArrow(merged, "query long, id long, score double")
+        def rows_():
+            for t in _blocks(batches, by):
+                kind, ids, e = t["kind"].to_numpy(), t["id"].to_numpy(), _matrix(t["e"].combine_chunks(), dim)
+                data, ask = kind == 0, kind == 1
+                for a, s, i in _scores(e[ask], e[data], ids[data], take):
+                    yield ids[ask][a : a + len(s)], s, i
+
+        held, n = [], 0
+        for b in _spread(rows_()):  # queries meet neighbouring blocks in one task: the best of both before the exchange
+            held.append(b)
+            n += b.num_rows
+            if n > 400_000:
+                yield _reduced(held, take)
+                held, n = [], 0
+        if held:
+            yield _reduced(held, take)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of each query, out of rows sorted by query."""
+        held, n = [], 0
+        for t in _blocks(batches, ["query"]):
+            held += t.to_batches()
+            n += t.num_rows
+            if n > 200_000:
+                yield _reduced(held, take)
+                held, n = [], 0
+        if held:
+            yield _reduced(held, take)
+
+    near = sent.select(*by, "kind", "id", "e").mapInArrow(scored, "query long, id long, score double")
+    near = near.repartition("query").sortWithinPartitions("query").mapInArrow(merged, "query long, id long, score double")
+    near = scratch.put(near, "near")
     # Back to all ids: those of equal vectors and those that ask with an equal vector.
-    wide = near.join(distinct.select(F.col("rep").alias("id"), "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
-    each = asking.join(wide, asking["rep"] == wide["query"]).where("vec_id <> query_id")
+    wide = near.join(space.distinct.select(F.col("rep").alias("id"), "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
+    each = space.asking.join(wide, F.col("rep") == F.col("query")).where("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = scratch.put(out, "out")
+    scratch.drop("distinct", "asking", "points", "ranked", "asks", "near")
+    return out

@@ -78,7 +78,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return ann.search(vectors, vectors["vec_id"] % 20 == 0, k=20)
+    return ann.nearest(vectors, vectors["vec_id"] % 20 == 0, k=20)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
