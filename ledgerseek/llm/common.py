@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once inside a Python worker; numpy work arrays are a small multiple of it.
 CHUNK_BYTES = 1_000_000
-_OWN_DIRS: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> None:
@@ -27,15 +23,14 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where that is unset, as in tests."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; where that is unset on a single machine, a folder beside the
+    warehouse, which all of a cluster shares too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="ledgerseek-")
-        atexit.register(shutil.rmtree, _OWN_DIRS[app], ignore_errors=True)
-    return _OWN_DIRS[app]
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    return base.rstrip("/")
 
 
 class Scratch:
@@ -52,12 +47,20 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _in(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
         """Removes tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._in(name)
+            files.delete(path, True)
+
+    def paths(self, pattern: str) -> list[str]:
+        """Tables whose names match."""
+        path, files = self._in(pattern)
+        return [found.getPath().toString() for found in files.globStatus(path)]
 
 
 def trim() -> None:

@@ -15,14 +15,19 @@ letters and digits).
 4. *Verification.*  Myers' bit-parallel alignment gives the exact edit distance of the item
    to the best stretch around the candidates; a second pass backwards finds its start.
 
+Sampling loses most where a long item has lost words, so items of more than ``direct_words``
+words skip steps 2 and 3: each window that passes the gate is verified.  Items of fewer than
+``least_words`` words, too short for edits, are found where all their words stand in order (distance 0).
+
 The benchmark is read in blocks of at most ``block_items`` items and ``block_bytes`` of
 text, each shipped to the workers; a larger benchmark makes more passes, never a larger
 broadcast.  Documents are never shuffled.
 
-Defined results: null or empty texts match nothing; items that are null or shorter than
-``least_words`` are not searched (they occur in clean text); equal items are all reported;
-repeated document rows are reported as often as they occur; an empty benchmark or corpus
-gives no rows.
+Defined results: null or empty texts match nothing; items that are null or without a word
+match nothing; equal items are all reported; an item is reported once for a document row, at its nearest
+stretch (the first of equal ones); repeated document rows are reported as often as they occur; an empty
+benchmark or corpus gives no rows; texts of any length are read whole; other columns pass
+through :func:`clean` whatever their names and are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, mix, tune
+from .common import by_bytes, mix, rolling, tune
 
 _WORD = re.compile(r"[^\W_]+")
 #: text probed at once: each probe has a fixed cost for every item size
@@ -49,6 +54,7 @@ PROBE_BYTES = 2_000_000
 class Settings:
     edits: float = 0.2
     least_words: int = 8
+    direct_words: int = 100
     walks: int = 16
     tables: int = 4
     sample: int = 2
@@ -86,9 +92,12 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], s: Settings = Settings()):
         self.s = s
         cut = [(i, words_of(t)) for i, t in items]
-        cut = [(i, w) for i, w in cut if len(w) >= s.least_words]
+        cut = [(i, w) for i, w in cut if w]
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({x for _, w in cut for x in w}))}  # 0: any other word
-        self.items = [(i, np.array([self.vocab[x] for x in w], np.int64)) for i, w in cut]
+        coded = [(i, np.array([self.vocab[x] for x in w], np.int64)) for i, w in cut]
+        self.items = [(i, w) for i, w in coded if len(w) >= s.least_words]
+        self.short = self._by_key([(k, w) for k, (_, w) in enumerate(coded) if len(w) < s.least_words])
+        self.names = coded
         self.n_words = len(self.vocab) + 1
         self.sizes = sorted({len(w) for _, w in self.items})
         self.longest = self.sizes[-1] if self.sizes else 0
@@ -108,6 +117,10 @@ class Index:
         sizes = np.array([len(w) for _, w in self.items], np.int64)
         #: for each walk and table: sorted keys of the items, and the items in that order
         self.stored = {}
+        self.direct: dict[int, list[int]] = {}
+        for k, (_, w) in enumerate(self.items):
+            if len(w) > s.direct_words:
+                self.direct.setdefault(len(w), []).append(k)
         if codes:
             starts = np.cumsum(sizes) - sizes
             for walk in range(s.walks):
@@ -115,6 +128,32 @@ class Index:
                     order = np.argsort(keys, kind="stable")
                     self.stored[walk, t] = keys[order], order
 
+    @staticmethod
+    def _keys(words: np.ndarray, n: int) -> np.ndarray:
+        """A key for each run of ``n`` words."""
+        return rolling(words.astype(np.uint64), n)
+
+    def _by_key(self, items: list[tuple[int, np.ndarray]]) -> dict[int, dict[int, list[tuple[int, np.ndarray]]]]:
+        """Size -> key -> items of few words."""
+        out: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
+        for k, w in items:
+            out.setdefault(len(w), {}).setdefault(int(self._keys(w, len(w))[0]), []).append((k, w))
+        return out
+
+    def few_words(self, text: np.ndarray, firsts: list[int], out: list[list[tuple[int, int, int, int, int]]]) -> None:
+        """Adds the items of few words at the first place of each text that has them whole; texts lie in ``text`` behind ``firsts``, with zeros between them."""
+        for n, by_key in self.short.items():
+            known = np.array(sorted(by_key), np.uint64)
+            places = self._keys(text, n)
+            at = np.minimum(np.searchsorted(known, places), len(known) - 1)
+            seen: set[tuple[int, int]] = set()
+            for p in np.flatnonzero(known[at] == places):
+                d = int(np.searchsorted(firsts, p, "right")) - 1
+                for k, w in by_key[int(places[p])]:
+                    if (d, k) not in seen and (text[p : p + n] == w).all():
+                        seen.add((d, k))
+                        out[d].append((self.names[k][0], n, 0, int(p) - firsts[d], int(p) - firsts[d] + n))
+
     def edits(self, n: int) -> int:
         return int(self.s.edits * n + 1e-9)
 
@@ -148,13 +187,13 @@ class Index:
         back[:, order] = out
         return back
 
-    def probe(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text (item number, distance, start word, end word), one for each contaminating item."""
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-        if not self.items:
+    def probe(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int, int]]]:
+        """For each text (item id, words of the item, distance, start word, end word), one for each contaminating item."""
+        out: list[list[tuple[int, int, int, int, int]]] = [[] for _ in texts]
+        if not self.names or not texts:
             return out
         cut = [words_of(t) for t in texts]
-        pad = self.longest  # other words behind each text, so that windows may reach over its end
+        pad = max(self.longest, self.s.least_words)  # other words behind each text, so that windows may reach over its end
         get = self.vocab.get
         parts, firsts, total = [], [], 0
         gap = np.zeros(pad, np.int64)
@@ -163,6 +202,9 @@ class Index:
             parts += [np.fromiter(map(get, w, repeat(0)), np.int64, len(w)), gap]
             total += len(w) + pad
         text = np.concatenate(parts)
+        self.few_words(text, firsts, out)
+        if not self.items:
+            return out
         known = (text[:-1] > 0) & (text[1:] > 0)
         places = np.flatnonzero(known)
         code = text[places] * self.n_words + text[places + 1]
@@ -192,6 +234,11 @@ class Index:
             window_sizes.append(np.full(len(fit), n, np.int64))
         window_starts, window_sizes = np.concatenate(window_starts), np.concatenate(window_sizes)
         owner = np.searchsorted(np.array(firsts), window_starts, "right") - 1
+        whole = window_sizes > self.s.direct_words
+        for d, a, n in zip(owner[whole].tolist(), window_starts[whole].tolist(), window_sizes[whole].tolist()):
+            for k in self.direct[n]:
+                found.setdefault((d, k), []).append(a)
+        owner, window_starts, window_sizes = owner[~whole], window_starts[~whole], window_sizes[~whole]
         for a in range(0, len(window_starts), 10_000):
             some, sizes, docs = window_starts[a : a + 10_000], window_sizes[a : a + 10_000], owner[a : a + 10_000]
             for walk in range(self.s.walks):
@@ -221,7 +268,7 @@ class Index:
                     back = best_stretch(item[::-1], text[max(lo, stop - n - most) : stop][::-1].tolist(), hit_at[0])
                     best = hit_at[0], stop - (back[1] if back else n) - begin, stop - begin
             if best:
-                out[d].append((k, *best))
+                out[d].append((self.items[k][0], n, *best))
         return out
 
 
@@ -250,7 +297,7 @@ def matches(docs: DataFrame, bench: DataFrame, settings: Settings = Settings(),
             index = Index(*shipped.value)
             for b in by_bytes(batches, "text", PROBE_BYTES):
                 ids = b.column(0).to_pylist()
-                rows = [(i, index.items[k][0], len(index.items[k][1]), *m) for i, found in zip(ids, index.probe(b.column(1).to_pylist())) for k, *m in found]
+                rows = [(i, *m) for i, found in zip(ids, index.probe(b.column(1).to_pylist())) for m in found]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)

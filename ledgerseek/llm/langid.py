@@ -11,13 +11,15 @@ all bytes of a batch at once: (three bytes -> longest context of any language) a
 
 Text form: Unicode lower case, UTF-8; ASCII other than letters becomes one space.
 
-Training takes a bounded, deterministic sample of the labelled rows: for each label about
-``train_docs`` rows of lowest hash (all of them if fewer), as counts, not texts.  Scoring
+Training takes a bounded, deterministic sample of the labelled texts: for each label about
+``train_docs`` distinct texts of lowest hash (all of them if fewer), each once, as counts.  A model above
+``MOST_BYTES`` (very many labels and alphabets) is refused rather than shipped.  Scoring
 reads every whole text; lang, source and doc_id are never inputs of a prediction.
 
 Defined results: null text or text with no letter -> ``und`` with score 0; no labelled row
 at all -> ``und``; ties between languages go to the label that sorts first; rows repeat
-as often as they occur.  ``score`` is the winner's share of 2^-(bits a byte), scaled by
+as often as they occur; an empty table gives no rows; texts of any length are read whole; kept columns pass through
+whatever their names.  ``score`` is the winner's share of 2^-(bits a byte), scaled by
 ``sharpness``, between 0 and 1.
 """
 
@@ -35,6 +37,8 @@ from pyspark.sql import types as T
 from .common import by_bytes, tune
 
 ORDER = 3
+#: largest cost table that is shipped to the workers
+MOST_BYTES = 400_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -93,6 +97,8 @@ class Model:
         for order in range(1, ORDER + 1):
             self.contexts += sorted((order, c) for c in set().union(*(t[order] for t in trees)))
         at = {c: i for i, c in enumerate(self.contexts)}
+        if (size := len(self.contexts) * n * len(self.langs) * 4) > MOST_BYTES:
+            raise ValueError(f"a model of {len(self.langs)} languages takes {size} bytes: train on fewer texts a label or fewer labels")
         self.cost = np.zeros((len(self.contexts), n, len(self.langs)), np.float32)
         for k, tree in enumerate(trees):
             for i, (order, context) in enumerate(self.contexts):
@@ -176,13 +182,14 @@ def train(labelled: DataFrame, train_docs: int = 1500, text: str = "text", lang:
     """
     tune(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    per_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    per_lang = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not per_lang:
         return Model({})
     names = [r["lang"] for r in per_lang]
     share = F.create_map(*(F.lit(x) for r in per_lang for x in (r["lang"], min(1.0, train_docs / r["n"]))))
-    spot = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003)
-    sample = rows.where(spot < share[F.col("lang")]).select("text", "lang")
+    spot = F.pmod(F.col("h"), F.lit(1_000_003)) / F.lit(1_000_003)
+    sample = rows.where(spot < share[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[np.ndarray]] = {}

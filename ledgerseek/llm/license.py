@@ -10,7 +10,8 @@ Words are runs of ASCII digits, ASCII letters (lower-cased) and all non-ASCII ch
 The scan is a single pass over each whole text: no shuffle, memory bounded by the chunk.
 
 Defined results: null and empty texts have no words, places or detections; rows repeat as
-often as they occur.  ``score`` is the highest priority among detections over 100, at
+often as they occur; an empty table gives no rows; texts of any length are read whole, in time that follows
+their length; kept columns pass through whatever their names.  ``score`` is the highest priority among detections over 100, at
 least 0.5 where there is a base place, 0 without either.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +46,15 @@ class Scanner:
     def words(self, text: str) -> tuple[int, list[tuple[int, str]]]:
         """(number of words, base places as (word, label) in order)."""
         plain = b" " + text.encode("utf-8", "replace").translate(_WORDS) + b" "
+        blank = np.frombuffer(plain, np.uint8) == 32
+        starts = np.flatnonzero(blank[:-1] & ~blank[1:])  # the blank before each word
         places = []
         for regex, label in self.phrases:
             if regex.pattern.split(b" ")[1].split(b" +")[0] not in plain:
                 continue
-            places += [(len(plain[: m.start()].split()), label) for m in regex.finditer(plain)]
-        return len(plain.split()), sorted(places)
+            found = np.searchsorted(starts, np.array([m.start() for m in regex.finditer(plain)], np.int64))
+            places += [(int(w), label) for w in found]
+        return len(starts), sorted(places)
 
     def detect(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, rule) of the detections that stay, in order; places are code points."""
@@ -59,10 +64,22 @@ class Scanner:
             return []
         found = [(m.start(), m.end(), k) for word in held for k in self.by_keyword[word] for m in self.rules[k].pattern.finditer(lower)]
         found.sort(key=lambda d: (-self.rules[d[2]].priority, d[0] - d[1], d[2], d[0]))
+        # taken intervals by start, as a tree of largest ends: whether one that starts no later reaches as far
+        place = {a: i + 1 for i, a in enumerate(sorted({d[0] for d in found}))}
+        reach = [0] * (len(place) + 1)
         taken: list[tuple[int, int, int]] = []
         for d in found:
-            if not any(a <= d[0] and d[1] <= e for a, e, _ in taken):
-                taken.append(d)
+            i, furthest = place[d[0]], 0
+            while i:
+                furthest = max(furthest, reach[i])
+                i &= i - 1
+            if furthest >= d[1]:
+                continue
+            taken.append(d)
+            i = place[d[0]]
+            while i < len(reach):
+                reach[i] = max(reach[i], d[1])
+                i += i & -i
         return sorted(taken)
 
 

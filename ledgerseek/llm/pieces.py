@@ -8,7 +8,8 @@ the library, and ids are joined back by position.  No shuffle; memory is bounded
 table's limit and by the chunk of text in work.
 
 Defined results: a null text is encoded as the empty text (only the end id); null ids
-decode to null.  Other columns pass through untouched by name (``keep``).
+decode to null; equal texts have equal ids, repeated rows come out as often as they occur; an empty table gives
+no rows; texts of any length are encoded whole.  Other columns pass through untouched by name (``keep``).
 """
 
 from __future__ import annotations

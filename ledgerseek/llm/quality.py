@@ -17,7 +17,8 @@ toxicity and keeps documents that are good and not toxic.
 Defined results: no usable labels, or labels of one class only -> that class's rate (0.5
 without any); null and empty texts have no tokens and are scored by what is left; null
 metadata is a value of its own; conflicting labels of a doc_id count by their mean (0.5
-and more is 1); repeated rows come out as often as they occur.
+and more is 1); of rows that share a doc_id one is learned from; ties of confidence go by a hash of the doc_id; repeated rows
+come out as often as they occur; an empty table gives no rows; texts of any length are read whole, other columns are not.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ class _Slots(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        slot = SHARES + zlib.crc32(token[:64].encode("utf-8", "replace")) % (CONTENT - SHARES)
-        self[token] = slot
+        slot = SHARES + zlib.crc32(token.encode("utf-8", "replace")) % (CONTENT - SHARES)
+        if len(token) <= 64:
+            self[token] = slot
         return slot
 
 
@@ -199,6 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, targets: Sequence[str], max_labell
     pool = pool.select("doc_id", *(F.lit(None).cast("double").alias(t) for t in targets)).distinct()
     chosen = marked.union(pool)  # at most max_labelled + max_pool rows: a proven bound for the broadcast
     rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id")
+    # one row a doc_id, that of the smallest text, so that what reaches the driver keeps the bound
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), *(F.col(c) for c in ("text", "source", "lang", "n_chars")))).alias("r")
+    rows = rows.groupBy("doc_id", *targets).agg(least).select("doc_id", "r.text", "r.source", "r.lang", "r.n_chars", *targets)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text"):

@@ -11,7 +11,8 @@ Spans are (kind, start, end) in code points, end exclusive, of the whole match.
 is matched leftmost and without overlaps; overlapping spans of different kinds all stay.
 
 Defined results: null and empty texts have no spans; rows repeat as often as they occur;
-a span's order is start, then rule order.
+a span's order is start, then rule order; an empty table gives no rows; texts of any length are read whole, other
+columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ RULES: tuple[Rule, ...] = (
     Rule("stripe", r"\b(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("google_api", r"\bAIza[A-Za-z0-9_-]{35}"),
     Rule("google_oauth", r"\bya29\.[A-Za-z0-9_-]{20,}"),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
     Rule("npm", r"\bnpm_[A-Za-z0-9]{36}"),
     Rule("pypi", r"\bpypi-AgEI[A-Za-z0-9_-]{40,}"),
     Rule("sendgrid", r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),

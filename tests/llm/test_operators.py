@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -80,7 +81,9 @@ def brute_matches(rows, bench):
         for k, item in bench:
             w = decontam.words_of(item)
             most = int(0.2 * len(w) + 1e-9)
-            if len(w) >= 8 and sum(x in held for x in w) >= len(w) - most and (d := edit_distance_to_stretch(w, words)) <= most:
+            if 0 < len(w) < 8 and any(words[k : k + len(w)] == w for k in range(len(words) - len(w) + 1)):
+                out[i, k, 0] += 1
+            elif len(w) >= 8 and sum(x in held for x in w) >= len(w) - most and (d := edit_distance_to_stretch(w, words)) <= most:
                 out[i, k, d] += 1
     return out
 
@@ -91,13 +94,39 @@ def test_decontamination(spark):
     item = bench[0][1].split()
     rows += [(9001, "before " + " ".join(item[: len(item) // 2] + ["extra"] + item[len(item) // 2 :]) + " after"), (9002, None), (9003, ""), (9004, bench[1][1]), (9004, bench[1][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = decontam.matches(df, spark.createDataFrame([*bench, (None, None), (77777, "too short")], "item_id long, text string"))
-    assert Counter((r["doc_id"], r["item_id"], r["distance"]) for r in found.collect()) == brute_matches(rows, bench)
+    few = [(77777, "too short"), (77778, "Too, short!"), (77779, " ".join(item[2:6])), (77780, item[0]), (77781, "!?")]
+    rows.append((9005, "far too short a text"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontam.matches(df, spark.createDataFrame([*bench, (None, None), *few], "item_id long, text string"))
+    assert Counter((r["doc_id"], r["item_id"], r["distance"]) for r in found.collect()) == brute_matches(rows, bench + few)
+    only = decontam.matches(df, spark.createDataFrame(few[:1], "item_id long, text string")).collect()
+    assert [tuple(r) for r in only] == [(9005, 77777, 2, 0, 1, 3)]
     hit = {i for i, _, _ in brute_matches(rows, bench)}
     small = decontam.clean(df, spark.createDataFrame(bench, "item_id long, text string"), block_items=7)
     assert Counter(r["doc_id"] for r in small.collect()) == Counter(i for i, _ in rows if i not in hit)
 
 
+@pytest.mark.parametrize("n", [40, 150, 300])
+def test_decontamination_of_long_items(n):
+    """Deletions, insertions and mixed edits up to the limit are all found, in long items too."""
+    rng = np.random.default_rng(n)
+    item = [f"i{k}" for k in rng.integers(0, 400, n)]
+    index = decontam.Index([(5, " ".join(item))])
+    texts = []
+    for kind in range(30):
+        w = list(item)
+        for at in sorted(rng.choice(n - 20, n // 5, replace=False), reverse=True):
+            if kind % 3 == 0:
+                del w[at]
+            elif kind % 3 == 1:
+                w.insert(at, f"x{at}")
+            else:
+                w[at] = f"y{at}"
+        texts.append(" ".join(["z"] * int(rng.integers(0, 50)) + w + ["z"] * 300))
+    found = index.probe(texts)
+    assert sum(bool(f) for f in found) >= (28 if n < 100 else 30) and all(f[0][:2] == (5, n) and f[0][2] <= n // 5 for f in found if f)
+
+
 # 2 ------------------------------------------------------------------------------------
 
 
@@ -160,6 +189,19 @@ def test_near_dedup(spark, awkward):
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_dedup_cuts_mixed_buckets(spark):
+    """A template whose slots take few values: links run between members that no centre is linked with."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(200):
+        w = [f"t{k}" for k in range(150)]
+        for at in (10, 40, 70, 100, 130, 145):
+            w[at] = f"s{at}v{rng.integers(0, 6)}"
+        rows.append((i, " ".join(w)))
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_groups(rows)
+
+
 def test_superminhash():
     a, b = np.arange(1, 1001, dtype=np.uint64), np.arange(201, 1201, dtype=np.uint64)
     s = neardup.superminhash(np.concatenate([a, b]), np.repeat([0, 1], 1000), 2, 512)
@@ -201,7 +243,56 @@ def test_language(spark, awkward):
     assert kept.columns == awkward.columns and kept.where("doc_id in (1, 2, 3, 14)").count() == 0
 
 
-def test_ppm_costs_sum_to_one():
+def test_language_sample_counts_texts_once(spark):
+    """Copies neither crowd out a label's other texts nor outweigh them; ties go to the label that sorts first."""
+    rows = [("aaaa bbbb", "one")] * 500 + [(f"aaaa cccc {k}", "one") for k in range(20)] + [("zzzz yyyy", "two")]
+    got = langid.train(spark.createDataFrame(rows, "text string, lang string"), train_docs=30)
+    want = langid.train(spark.createDataFrame(sorted(set(rows)), "text string, lang string"), train_docs=30)
+    assert got.langs == ["one", "two"] and (got.cost == want.cost).all()
+    same = langid.train(spark.createDataFrame([("abc def", "b"), ("abc def", "a")], "text string, lang string"))
+    assert same.predict(["abc", None, "12"], 8.0)[0] == ["a", "und", "und"]
+
+
+def brute_bits(text, counts):
+    """Code length by walking from the longest known context to shorter ones, escape by escape."""
+    data = b"".join(bytes([c]) if c > 127 or 97 <= c <= 122 else b" " for c in (" " + text.lower()).encode())
+    data = re.sub(rb" +", b" ", data)
+    trees: dict = {}
+    for gram, n in counts.items():
+        seq = gram.to_bytes(4, "big")
+        for order in range(4):
+            context = seq[3 - order : 3]
+            if 0 in context:
+                break
+            trees.setdefault(context, Counter())[seq[3]] += n
+    total = 0.0
+    for i, c in enumerate(data):
+        for order in range(min(3, i), -1, -1):
+            seen = trees.get(data[i - order : i])
+            if seen is None:
+                continue
+            n, d = sum(seen.values()), len(seen)
+            if c in seen:
+                total -= np.log2(seen[c] / (n + d))
+                break
+            total -= np.log2(d / (n + d))
+        else:
+            total += 8
+    return total
+
+
+def test_ppm_against_brute_force():
+    texts = ["the cat sat on the mat", "the dog sat", "a man ate the cat", "ünïcode cat", "x", "zebra quilt 99"]
+    counts = []
+    for part in (texts[:2], texts[2:4]):
+        g, n = np.unique(langid.grams(*langid.folded(part)), return_counts=True)
+        counts.append(dict(zip(g.tolist(), n.tolist())))
+    model = langid.Model({"a": counts[0], "b": counts[1]})
+    bits, _ = model.bits(texts)
+    assert np.allclose(bits, [[brute_bits(t, c) for c in counts] for t in texts], rtol=1e-4)
+
+
+def test_ppm_costs_prefer_the_own_language():
     model = langid.Model({"a": {g: 3 for g in (0x61626364, 0x61626365, 0x00006162)}, "b": {0x7A7A7A7A: 1}})
     assert model.langs == ["a", "b"] and np.isfinite(model.cost).all() and (model.cost >= 0).all()
     bits, _ = model.bits(["zzzz zzzz"])
@@ -219,6 +310,43 @@ def test_quality(spark, awkward):
     assert len(out) == len(AWKWARD) and all(0 <= r["quality"] <= 1 for r in out)
 
 
+def test_quality_of_one_class_and_shared_ids(spark):
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    rows = [(i % 20, f"text {i}", "s", "en", 5) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    models = quality.train(frame, labels, ["quality"])
+    assert models["quality"].rate == 1.0 and {r["quality"] for r in quality.score(frame, models).collect()} == {1.0}
+    assert quality._SLOTS["x" * 70] != quality._SLOTS["x" * 64 + "yyyyyy"]
+
+
+# 6, 7 ---------------------------------------------------------------------------------
+
+
+def test_license_resolution_against_brute_force(spark):
+    """All rules on all texts without keywords, priorities and containment by definition."""
+    s = license.scanner()
+    made = ["Licensed under the Apache License, Version 2.0. MIT license; SPDX-License-Identifier: GPL-2.0-or-later", "gnu general public license version 3 or later, cc by 4.0"]
+    for t in [t for _, t in texts(spark) if t and len(t) < 5000][:300] + made + [" ".join(made) * 3]:
+        lower = t.translate(license._ASCII_LOWER)
+        found = [(m.start(), m.end(), k) for k, r in enumerate(s.rules) for m in r.pattern.finditer(lower)]
+        found.sort(key=lambda d: (-s.rules[d[2]].priority, d[0] - d[1], d[2], d[0]))
+        stay: list = []
+        for d in found:
+            if not any(a <= d[0] and d[1] <= e for a, e, _ in stay):
+                stay.append(d)
+        assert s.detect(t) == sorted(stay)
+
+
+def test_long_texts_take_time_in_proportion():
+    began = time.perf_counter()
+    s = license.scanner()
+    text = "mit license and apache license, version 2.0 " * 120_000  # 5 MB
+    n, places = s.words(text)
+    assert n == 8 * 120_000 and len(places) == 2 * 120_000 and len(s.detect(text[:2_000_000])) > 40_000
+    assert not any(k == "jwt" for k in secrets.scanner(secrets.RULES).scan(["-eyJabcdefgh" * 400_000 + ".eyJ"])[0])
+    assert time.perf_counter() - began < 60
+
+
 # 6, 7 ---------------------------------------------------------------------------------
 
 
@@ -439,7 +567,7 @@ def test_pipeline(spark, awkward):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "sentencepiece"]
     model = langid.train(langid.learnable(docs(spark)))
     lang = [r for r, (name, score) in zip(rows, zip(*model.predict([t for _, t in rows], 8.0))) if name != "und" and score > corpus_pipeline.LEAST_LANGUAGE_SCORE]
-    kept = [(i, t) for i, t in lang if (i, i) in {(i, c) for i, _, c in brute_groups(lang)}]
+    kept = [(i, t) for i, t in lang if (i, i) in {(i, c) for i, _, c in brute_groups(lang, corpus_pipeline.NEAR_PERCENT)}]
     hit = {i for i, _, _ in brute_matches(kept, bench)}
     import sentencepiece
 
@@ -454,6 +582,16 @@ def test_pipeline(spark, awkward):
         assert frame.columns == awkward.columns, name
 
 
+def test_pipeline_rows_that_share_an_id(spark):
+    rows = [(1, "a b c", "en"), (1, "d e f", "en"), (1, "d e f", "de"), (None, "n", "en"), (None, "n", "de"), (None, "m", "en"), (2, None, "en"), (2, None, "de"), (3, "", "x")]
+    frame = spark.createDataFrame([(*r, "s", 3, 0, 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, count long, __kept int, kept int")
+    for _ in range(2):
+        got = corpus_pipeline.drop_near_duplicates(spark, frame, SF)
+        assert got.columns == frame.columns
+        assert Counter((r["doc_id"], r["text"], r["lang"]) for r in got.collect()) == Counter([(1, "a b c", "en"), (1, "d e f", "de"), (None, "n", "de"), (None, "m", "en"), (2, None, "de"), (3, "", "x")])
+        frame = frame.orderBy(F.desc("lang"))
+
+
 def test_pipeline_links_from_80(spark):
     """Pairs at exactly 0.80, between 0.80 and 0.85, and below 0.80; then the texts of the smallest table against brute force."""
     rows = []
