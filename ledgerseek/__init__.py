@@ -1 +1 @@
-"""A Spark-native ledger search engine."""
+"""A Spark-native query engine for append-only ledgers."""

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.predicates import compile_predicate
+from .functions.text import chunk_map as chunks_of
 from .functions.text import first_chunks, trim_zeros
-from .operators import search as op
-from .operators.search import Query
+from .operators import matching as op
+from .operators.matching import Query
 from .plans.bounds import Chain, Cursor, LegacyRequest, Request, resolve
 from .plans.segments import Segment, chain_of, is_covered, nth_highest_irreversible, plan
 from .sources import shards
+from .sources.shared import drained, fresh_dir
+from .sources.store import ShardStore, analyze, boundaries
 from .sources.bindings import EVENTS, LEDGER, Binding, event_docs, ledger_transactions, read
 from .streaming import forks
 
@@ -43,11 +47,11 @@ _EVENTS_SQL = """docs AS (
 _SOURCE = {"ledger": _LEDGER_SQL, "events": _EVENTS_SQL}
 
 
-def _docs_sql(binding: Binding, where: str, low: int = 100, high: int = 400) -> str:
+def _docs_sql(binding: Binding, where: str, low: int = 0, high: int = ALL) -> str:
     return f"WITH {_SOURCE[binding.name]} SELECT block_num, trx_id, action_idx FROM docs WHERE {where} AND block_num BETWEEN {low} AND {high}"
 
 
-def _match_sql(binding: Binding, where: str, low: int = 100, high: int = 400, down: bool = False) -> str:
+def _match_sql(binding: Binding, where: str, low: int = 0, high: int = ALL, down: bool = False) -> str:
     """CTEs up to ``m``: one row for each matching transaction, with its place ``pos`` in the whole result."""
     way = "DESC" if down else "ASC"
     return f"""WITH {_SOURCE[binding.name]},
@@ -75,7 +79,7 @@ def _query(name: str, sql: str | None = None):
     return put
 
 
-def _documents(name: str, binding: Binding, text: str, where: str, low: int = 100, high: int = 400, **how) -> None:
+def _documents(name: str, binding: Binding, text: str, where: str, low: int = 0, high: int = ALL, **how) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op.documents(spark, sf_dir, binding, Query.of(text, **how), low, high).select("block_num", "trx_id", "action_idx")
 
@@ -84,12 +88,12 @@ def _documents(name: str, binding: Binding, text: str, where: str, low: int = 10
 
 def _matches(name: str, text: str, sql: str, columns: tuple[str, ...] = _STD, **how) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op.search(spark, sf_dir, LEDGER, Query.of(text), how.get("low", 100), how.get("high", 400), **{k: v for k, v in how.items() if k not in ("low", "high")}).select(*columns)
+        return op.find(spark, sf_dir, LEDGER, Query.of(text), how.get("low", 0), how.get("high", ALL), **{k: v for k, v in how.items() if k not in ("low", "high")}).select(*columns)
 
     _query(name, sql)(run)
 
 
-# --- search --------------------------------------------------------------------------
+# --- matches ------------------------------------------------------------------------
 
 _flag, _flag_down = _match_sql(LEDGER, FLAGSHIP_SQL), _match_sql(LEDGER, FLAGSHIP_SQL, down=True)
 _matches("flagship", FLAGSHIP, _flag + _STD_SQL + " WHERE pos <= 50", limit=50)
@@ -127,9 +131,9 @@ for _name, _down in (("limit_asc", False), ("limit_desc", True)):
 def _resumed(down: bool) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         query = Query.of(FLAGSHIP)
-        page = op.search(spark, sf_dir, LEDGER, query, 100, 400, down, 50).select("cursor").collect()  # one page
+        page = op.find(spark, sf_dir, LEDGER, query, 0, ALL, down, 50).select("cursor").collect()  # one page
         at = Cursor.parse(page[-1][0]) if page else None
-        return op.search(spark, sf_dir, LEDGER, query, 100, 400, down, 50, at).select(*_STD)
+        return op.find(spark, sf_dir, LEDGER, query, 0, ALL, down, 50, at).select(*_STD)
 
     return run
 
@@ -140,13 +144,13 @@ _query("cursor_resume_desc", _flag_down + _STD_SQL + " WHERE pos BETWEEN 51 AND
 
 @_query("first_matches", _flag + _STD_SQL + " WHERE pos <= 50")
 def first_matches(spark, sf_dir):
-    return op.first_matches(spark, sf_dir, LEDGER, Query.of(FLAGSHIP), 100, 400, 50, shards=1).select(*_STD)
+    return op.first_matches(spark, sf_dir, LEDGER, Query.of(FLAGSHIP), 0, _head(spark, sf_dir), 50, shards=1).select(*_STD)
 
 
 def _positions(down: bool) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Global places without one task for all rows: rank in the block plus the matches of the blocks before."""
-        found = op.transactions(op.documents(spark, sf_dir, LEDGER, Query.of("status:P"), 100, 400), down)
+        found = op.transactions(op.documents(spark, sf_dir, LEDGER, Query.of("status:P"), 0, ALL), down)
         per_block = found.groupBy("block_num").agg(F.count("*").alias("n"))  # one row a block
         order = F.desc("block_num") if down else F.asc("block_num")
         before = per_block.select("block_num", F.coalesce(F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -216,7 +220,9 @@ def head_info(spark, sf_dir):
     return spark.createDataFrame([(c.head, c.irreversible)], "head long, irr long")
 
 
-@_query("contiguous_coverage", "SELECT 'all' AS name, true AS covered UNION ALL SELECT 'without 1997', false")
+@_query("contiguous_coverage", f"""WITH {_YEARS_SQL}, s AS (SELECT y, lag(hi) OVER (ORDER BY y) AS before FROM y)
+SELECT 'all' AS name, count(*) FILTER (WHERE before IS NULL AND y > (SELECT min(y) FROM y)) = 0 AS covered FROM s
+UNION ALL SELECT 'without 1997', NOT EXISTS (SELECT 1 FROM y WHERE y = 1997) OR (SELECT max(y) = 1997 OR min(y) = 1997 FROM y)""")
 def contiguous_coverage(spark, sf_dir):
     own = _years(spark, sf_dir)
     head = max(s.head for s in own)
@@ -265,12 +271,15 @@ def stop_block(spark, sf_dir):
     return shards.stop_before(EVENTS.docs(spark, sf_dir, ()), 25).groupBy("block_num").agg(F.count("*").alias("n_docs"))
 
 
-@_query("next_unindexed", "SELECT CAST(600 AS BIGINT) AS next_base")
+_HOLED_SQL = _SHARDS_SQL + ", own AS (SELECT shard_base FROM s WHERE shard_base % 700 <> 600), gap AS (SELECT min(b) AS next_base FROM range(0, (SELECT max(shard_base) + 200 FROM own), 100) AS r(b) WHERE b NOT IN (SELECT shard_base FROM own)) "
+
+
+@_query("next_unindexed", _HOLED_SQL + "SELECT next_base FROM gap")
 def next_unindexed(spark, sf_dir):
     return shards.next_unindexed(_ledger_shards(spark, sf_dir).where("shard_base % 700 <> 600"), LEDGER.shard_size)
 
 
-@_query("contiguous_prefix", _SHARDS_SQL + "SELECT shard_base FROM s WHERE shard_base < 600")
+@_query("contiguous_prefix", _HOLED_SQL + "SELECT shard_base FROM own, gap WHERE shard_base < next_base")
 def contiguous_prefix(spark, sf_dir):
     return shards.contiguous_prefix(_ledger_shards(spark, sf_dir).where("shard_base % 700 <> 600"), LEDGER.shard_size)
 
@@ -335,13 +344,11 @@ def chunk_map(spark, sf_dir):
 
 @_query("stream_filter", f"WITH {_EVENTS_SQL} SELECT block_num, trx_id, action_idx FROM docs WHERE event_type = 'error'")
 def stream_filter(spark, sf_dir):
-    """A file stream run until it has caught up, into an in-memory table."""
+    """A file stream run until it has caught up, into a table in the shared folder."""
     schema, query = read(spark, sf_dir, "events").schema, Query.of("event_type:error")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     docs = event_docs(source, query.names).where(query.predicate(EVENTS.fields)).select("block_num", "trx_id", "action_idx")
-    name = f"ledgerseek_{uuid.uuid4().hex}"
-    docs.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return drained(docs, fresh_dir(spark, "stream"))
 
 
 @_query("canonical_desc", f"""WITH {_EVENTS_SQL}, h AS (SELECT max(block_num) AS head FROM docs),
@@ -357,9 +364,170 @@ def canonical_desc(spark, sf_dir):
     real = blocks.select(F.col("block_num").alias("num"), id_("b", F.col("block_num")).alias("id"), id_("b", F.col("block_num") - 1).alias("prev_id"))
     orphans = blocks.where("block_num % 5 = 0").select(F.col("block_num").alias("num"), id_("x", F.col("block_num")).alias("id"), id_("b", F.col("block_num") - 1).alias("prev_id"))
     head = blocks.agg(F.max("block_num")).first()[0]
-    chain = forks.canonical(real.union(orphans).where(F.col("num") > head - 60), f"b{head}", 30)
+    chain = forks.canonical(real.union(orphans), f"b{head}", 30)
     tagged = docs.withColumn("id", id_("b", F.col("block_num"))).union(docs.where("block_num % 5 = 0").withColumn("id", id_("x", F.col("block_num"))))
     found = tagged.where(query.predicate(EVENTS.fields)).join(F.broadcast(chain.select("id")), "id", "left_semi")  # 30 rows
     matches = op.transactions(found, descending=True)
     pos = F.row_number().over(Window.orderBy(F.desc("block_num"), F.desc("trx_idx"))).cast("long")  # 30 blocks
     return matches.select("block_num", op.prefix().alias("trx_id_prefix"), "match_index", "action_idxs", pos.alias("pos"))
+
+
+def _event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVENTS' documents with a block id and time: ``b<num>``; every fifth block has a twin ``x<num>``, which came first."""
+    docs = EVENTS.docs(spark, sf_dir, ("event_type",))
+    own = docs.withColumn("id", F.concat(F.lit("b"), F.col("block_num").cast("string")))
+    twin = docs.where("block_num % 5 = 0 and block_num > 0").withColumn("id", F.concat(F.lit("x"), F.col("block_num").cast("string")))
+    return own.union(twin)
+
+
+def _block_stream(spark: SparkSession, sf_dir: str, query: Query) -> DataFrame:
+    """The blocks as a file stream of rows for :func:`forks.follow`, matched block by block before any state; finality is twelve blocks behind."""
+    rows = forks.index_blocks(_event_blocks(spark, sf_dir), ("id", "block_num")).withColumnRenamed("block_num", "num")
+    path = fresh_dir(spark, "blocks")
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return stream.select(
+        F.lit("events").alias("chain"), "num", "id", F.concat(F.lit("b"), (F.col("num") - 1).cast("string")).alias("prev_id"), F.greatest(F.col("num") - 12, F.lit(-1)).alias("lib_num"),
+        (2 * F.col("num") + F.col("id").startswith("b").cast("int")).alias("arrival"),
+        forks.block_matches(F.col("docs"), lambda d: compile_predicate(query.expr, replace(EVENTS.fields, root=d))).alias("matches"),
+    )
+
+
+_LIVE_SQL = f"""WITH {_EVENTS_SQL}, h AS (SELECT max(block_num) AS head FROM docs),
+g AS (SELECT block_num, trx_id AS trx_id_prefix, trx_idx, string_agg(action_idx, ',' ORDER BY action_idx) AS action_idxs FROM docs WHERE event_type = 'error' GROUP BY 1, 2, 3),
+r AS (SELECT block_num, trx_id_prefix, row_number() OVER (PARTITION BY block_num ORDER BY trx_idx) - 1 AS match_index, action_idxs FROM g),
+steps AS (
+  SELECT r.*, 'new' AS step, 'b' || block_num AS block_id FROM r, h WHERE block_num % 5 <> 0 OR block_num = 0 OR block_num < head
+  UNION ALL SELECT r.*, 'new', 'x' || block_num FROM r WHERE block_num % 5 = 0 AND block_num > 0
+  UNION ALL SELECT r.*, 'undo', 'x' || block_num FROM r, h WHERE block_num % 5 = 0 AND block_num > 0 AND block_num < head)
+"""
+_LIVE = ("step", "block_num", "block_id", "trx_id_prefix", "match_index", "action_idxs", "cursor", "undo")
+_LIVE_COLUMNS = "step, block_num, block_id, trx_id_prefix, match_index, action_idxs, '1:' || block_num || ':' || block_id || ':' || trx_id_prefix AS cursor, step = 'undo' AS undo"
+
+
+def _live(name: str, sql: str, request: forks.Follow) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        steps = forks.follow(_block_stream(spark, sf_dir, Query.of("event_type:error")), request=request)
+        return forks.live_rows(drained(steps, fresh_dir(spark, name))).select(*_LIVE)
+
+    _query(name, sql)(run)
+
+
+_live("live_steps", _LIVE_SQL + f"SELECT {_LIVE_COLUMNS} FROM steps", forks.Follow())
+_live("live_final", _LIVE_SQL + f"""SELECT 'irreversible' AS step, block_num, block_id, trx_id_prefix, match_index, action_idxs,
+ '1:' || block_num || ':' || block_id || ':' || trx_id_prefix AS cursor, false AS undo
+FROM (SELECT r.*, 'b' || block_num AS block_id FROM r, h WHERE block_num <= head - 12 AND block_num BETWEEN 10 AND 60)""", forks.Follow(reversible=False, low=10, high=60, gate=10))
+
+
+@_query("live_markers", f"WITH {_EVENTS_SQL} SELECT DISTINCT block_num, '1:' || block_num || ':b' || block_num || ':' AS cursor FROM docs WHERE block_num >= 21 AND (block_num - 21) % 7 = 0 AND block_num <= (SELECT max(block_num) FROM docs) - 12")
+def live_markers(spark, sf_dir):
+    """Empty rows of an irreversible request every seven blocks, from the head of its time (21) on."""
+    request = forks.Follow(reversible=False, marker_interval=7, marker_after=21)
+    rows = forks.live_rows(drained(forks.follow(_block_stream(spark, sf_dir, Query.of("event_type:error")), request=request), fresh_dir(spark, "markers")))
+    return rows.where("live_marker").select("block_num", "cursor")
+
+
+@_query("undo_by_id", _LIVE_SQL + """SELECT 'x' || block_num AS id, block_num, trx_id_prefix, match_index, action_idxs, CAST(9 AS BIGINT) AS irr_block_num, true AS undo FROM r WHERE block_num IN (10, 15)""")
+def undo_by_id(spark, sf_dir):
+    """The twins of blocks 10 and 15 are taken back; the blocks of the same numbers that stayed are not."""
+    dead = spark.createDataFrame([("x10",), ("x15",)], "id string")
+    found = op.undo_by_id(_event_blocks(spark, sf_dir), Query.of("event_type:error"), EVENTS.fields, dead)
+    return found.select("id", "block_num", "trx_id_prefix", "match_index", "action_idxs", "irr_block_num", "undo")
+
+
+@_query("fork_resume", _LIVE_SQL + """SELECT 'x' || block_num AS id, block_num, trx_id_prefix, match_index, true AS undo FROM r WHERE block_num = 20
+UNION ALL SELECT 'b' || block_num, block_num, trx_id_prefix, match_index, false FROM r, h WHERE block_num BETWEEN 20 AND 34""")
+def fork_resume(spark, sf_dir):
+    """A cursor on a block that was left: its branch's matches are taken back, then the listing starts again at the lowest dead block, without the cursor."""
+    query, at = Query.of("event_type:error"), Cursor.parse("1:20:x20:40")
+    docs = _event_blocks(spark, sf_dir)
+    blocks = docs.where("block_num <= 34").select(F.col("block_num").alias("num"), "id", F.concat(F.lit("b"), (F.col("block_num") - 1).cast("string")).alias("prev_id")).distinct()
+    dead = forks.dead_blocks(blocks, at, "b34", depth=100)
+    low = dead.agg(F.min("num")).first()[0]
+    gone = op.undo_by_id(docs, query, EVENTS.fields, dead).select("id", "block_num", "trx_id_prefix", "match_index", "undo")
+    again = op.transactions(op.documents(spark, sf_dir, EVENTS, query, low, 34))
+    return gone.union(again.select(F.concat(F.lit("b"), F.col("block_num").cast("string")), "block_num", op.prefix(), "match_index", F.lit(False)))
+
+
+@_query("cursor_valid", "SELECT * FROM (VALUES ('1:20:b20:', true), ('1:20:x20:', false), ('1:30:x30:', true), ('1:20::', true)) AS t(cursor, valid)")
+def cursor_valid(spark, sf_dir):
+    """At irreversible block 25: the twin of block 20 is dead, that of block 30 can still be taken back."""
+    chain = EVENTS.docs(spark, sf_dir, ()).select(F.col("block_num").alias("num"), F.concat(F.lit("b"), F.col("block_num").cast("string")).alias("id"))
+    cases = ["1:20:b20:", "1:20:x20:", "1:30:x30:", "1:20::"]
+    return spark.createDataFrame([(c, forks.still_valid(Cursor.parse(c), chain, 25)) for c in cases], "cursor string, valid boolean")
+
+
+# --- the shard store -----------------------------------------------------------------
+
+
+def _ledger_store(spark: SparkSession, sf_dir: str, fields: tuple[str, ...]) -> ShardStore:
+    """LEDGER with its ranks and ``fields`` in a store: days without orders are no faults here."""
+    store = ShardStore(spark, fresh_dir(spark, "store"), LEDGER.shard_size)
+    docs = LEDGER.docs(spark, sf_dir, fields).withColumn("block_id", F.col("block_num").cast("string")).withColumn("block_time", F.lit(None).cast("timestamp"))
+    store.publish(docs, whole=False)
+    return store
+
+
+@_query("store_flagship", _flag + _STD_SQL + " WHERE pos <= 50")
+def store_flagship(spark, sf_dir):
+    """The flagship out of the store: terms and range are filters of the scan, ranks are read, nothing is joined."""
+    query = Query.of(FLAGSHIP)
+    docs = _ledger_store(spark, sf_dir, tuple(query.names)).read(0, ALL).where(query.predicate(LEDGER.fields))
+    return op.page(op.transactions(docs), limit=50).select(*_STD)
+
+
+@_query("store_range", _docs_sql(LEDGER, "returnflag = 'A'", 730, 760))
+def store_range(spark, sf_dir):
+    query = Query.of("returnflag:A")
+    return _ledger_store(spark, sf_dir, ("returnflag",)).read(730, 760).where(query.predicate(LEDGER.fields)).select("block_num", "trx_id", "action_idx")
+
+
+_BOUNDS_SQL = f"""WITH {_EVENTS_SQL}, b AS (SELECT block_num, count(*) AS n, min(ts) AS t FROM docs GROUP BY 1),
+s AS (SELECT block_num - block_num % 10 AS shard_base, min(block_num) AS start_num, max(block_num) AS end_num, min(t) AS start_time, max(t) AS end_time, count(*) AS n_blocks, CAST(sum(n) AS BIGINT) AS n_docs FROM b GROUP BY 1) """
+
+
+@_query("store_boundaries", _BOUNDS_SQL + """SELECT shard_base, start_num, 'b' || start_num AS start_id, epoch_us(start_time) AS start_us, end_num, 'b' || end_num AS end_id, epoch_us(end_time) AS end_us,
+ n_blocks, n_docs, n_blocks = 10 AS valid, EXISTS (SELECT 1 FROM s AS x WHERE x.shard_base = s.shard_base + 10) AS followed FROM s""")
+def store_boundaries(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    docs = event_docs(events, ("event_type",)).select("block_num").join(events.select(F.expr("event_id div 20").alias("block_num"), "ts").groupBy("block_num").agg(F.min("ts").alias("t")), "block_num")
+    docs = docs.select("block_num", F.concat(F.lit("b"), F.col("block_num").cast("string")).alias("block_id"), F.col("t").cast("timestamp").alias("block_time"))
+    report = analyze(boundaries(docs, EVENTS.shard_size), EVENTS.shard_size)
+    return report.select(
+        "shard_base", "start_num", "start_id", F.unix_micros("start_time").alias("start_us"), "end_num", "end_id", F.unix_micros("end_time").alias("end_us"),
+        "n_blocks", "n_docs", (F.size("faults") == 0).alias("valid"), "followed",
+    )
+
+
+@_query("store_follow", _BOUNDS_SQL + "SELECT shard_base, n_docs FROM s WHERE n_blocks = 10")
+def store_follow(spark, sf_dir):
+    """A stream into the store: shards are published as they become whole."""
+    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    docs = event_docs(events, ("event_type",)).withColumn("block_id", F.concat(F.lit("b"), F.col("block_num").cast("string"))).withColumn("block_time", F.timestamp_seconds(F.col("block_num")))
+    store = ShardStore(spark, fresh_dir(spark, "follow"), EVENTS.shard_size)
+    store.ingest(docs)
+    return store.meta().select("shard_base", "n_docs")
+
+
+@_query("empty_cached", f"WITH {_EVENTS_SQL} SELECT DISTINCT block_num - block_num % 10 AS shard_base FROM docs WHERE block_num BETWEEN 10 AND 59 EXCEPT SELECT block_num - block_num % 10 FROM docs WHERE event_type = 'error' AND k = '87'")
+def empty_cached(spark, sf_dir):
+    """A request of blocks 5 to 64 covers five shards; those without a match are kept in a table and read again."""
+    query, known = Query.of(_RARE), op.EmptyResults(spark, fresh_dir(spark, "empty"))
+    known.publish(op.empty_shards(spark, sf_dir, EVENTS, query, 5, 64))
+    return known.of(query, EVENTS.shard_size).select("shard_base")
+
+
+@_query("chunk_hex", "SELECT o_orderkey, CASE WHEN h = '' THEN '0' ELSE h END AS c0 FROM (SELECT o_orderkey, ltrim(lower(hex(substr(lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), 1, 2))), '0') AS h FROM orders)")
+def chunk_hex(spark, sf_dir):
+    key = F.lpad(F.col("o_orderkey").cast("string"), 8, "0").cast("binary")
+    return read(spark, sf_dir, "orders").select("o_orderkey", chunks_of(key, 2, 1)["c0"].alias("c0"))
+
+
+@_query("collected", f"""WITH {_LEDGER_SQL} SELECT block_num, substr(trx_id, 1, 12) AS trx_id_prefix, string_agg(action_idx, ',' ORDER BY action_idx) AS action_idxs,
+ count(DISTINCT linestatus) AS n_status, upper(min(priority)) AS label FROM docs WHERE returnflag = 'R' GROUP BY 1, 2""")
+def collected(spark, sf_dir):
+    """The collector hook adds aggregates of a transaction's matches, the payload hook columns of a result row."""
+    docs = op.documents(spark, sf_dir, LEDGER, Query.of("returnflag:R -(linestatus:none OR priority:none)"), 0, ALL)
+    found = op.transactions(docs, collect=lambda: [F.count_distinct("linestatus").alias("n_status"), F.min("priority").alias("p")])
+    rows = op.page(found, payload=lambda rows: rows.withColumn("label", F.upper("p")))
+    return rows.select("block_num", "trx_id_prefix", "action_idxs", "n_status", "label")

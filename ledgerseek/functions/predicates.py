@@ -29,19 +29,24 @@ class Fields:
     booleans: Mapping[str, str] = field(default_factory=dict)
     text_map: str | None = None
     bool_map: str | None = None
+    #: a struct that holds the fields, where they are no columns of their own (documents in an array)
+    root: Column | None = None
+
+    def _col(self, name: str) -> Column:
+        return F.col(name) if self.root is None else self.root.getField(name.strip("`"))
 
     def text_in(self, name: str, values: Sequence[str]) -> Column:
         if not values:
             return F.lit(False)
         if name in self.scalars:
-            col = F.col(self.scalars[name])
+            col = self._col(self.scalars[name])
             if len(values) > WIDE:
                 return F.coalesce(F.array_contains(F.lit(list(values)), col), F.lit(False))
             return (col.eqNullSafe(values[0])) if len(values) == 1 else F.coalesce(col.isin(*values), F.lit(False))
         if name in self.arrays:
-            col = F.col(self.arrays[name])
+            col = self._col(self.arrays[name])
         elif self.text_map and name not in self.booleans:
-            col = F.col(self.text_map)[name]
+            col = self._col(self.text_map)[name]
         else:
             return F.lit(False)
         found = F.array_contains(col, values[0]) if len(values) == 1 else F.exists(col, lambda x: x.isin(*values))
@@ -49,9 +54,9 @@ class Fields:
 
     def bool_is(self, name: str, value: bool) -> Column:
         if name in self.booleans:
-            return F.col(self.booleans[name]).eqNullSafe(value)
+            return self._col(self.booleans[name]).eqNullSafe(value)
         if self.bool_map and name not in self.scalars and name not in self.arrays:
-            return F.coalesce(F.array_contains(F.col(self.bool_map)[name], value), F.lit(False))
+            return F.coalesce(F.array_contains(self._col(self.bool_map)[name], value), F.lit(False))
         return F.lit(False)
 
 

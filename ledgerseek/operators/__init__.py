@@ -1 +1 @@
-"""Relational operators of the search engine."""
+"""Relational operators of the engine."""

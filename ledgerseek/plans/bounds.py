@@ -20,7 +20,7 @@ class RangeError(ValueError):
 
 @dataclass(frozen=True)
 class Cursor:
-    """Place after which a search goes on: ``1:<block>:<head id>:<transaction prefix>``."""
+    """Place after which a listing goes on: ``1:<block>:<head id>:<transaction prefix>``."""
 
     block: int
     head_id: str = ""
@@ -68,7 +68,7 @@ class Chain:
 
 @dataclass(frozen=True)
 class Request:
-    """Bounds of a search: negative ones are relative to the virtual head (-1 is the head itself), None is unbounded."""
+    """Bounds of a request: negative ones are relative to the virtual head (-1 is the head itself), None is unbounded."""
 
     low: int | None = None
     high: int | None = None
@@ -147,7 +147,7 @@ def _legacy(r: LegacyRequest, chain: Chain) -> Range:
 
 
 def _at_cursor(found: Range, cursor: Cursor | None, descending: bool, lowest: int) -> Range:
-    """Ascending searches start at the cursor's block, even below the range; descending ones end there."""
+    """Ascending requests start at the cursor's block, even below the range; descending ones end there."""
     if cursor is None:
         return found
     at = cursor.block

@@ -1,14 +1,17 @@
 """Bindings: how a set of tables reads as a ledger (blocks of transactions of actions).
 
 A binding's ``docs`` are one row for each action: ``block_num, trx_idx, trx_id, action_idx``
-and the asked fields.  Tables that no asked field needs are not joined.  All windows are
-partitioned by block as well, so a block range reaches the scans.
+and the asked fields.  Tables that no asked field needs are not joined.  A range of blocks is
+given as one of the tables' own columns (order day, event number), so it is pushed down to their scans;
+windows are partitioned by block, so ranks don't change.  Lines have no block of their own: they are joined by key, and
+:mod:`.store` keeps them with their ranks, block and shard for repeated reading.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Collection
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +25,8 @@ KEYS = ("block_num", "trx_idx", "trx_id", "action_idx")
 class Binding:
     name: str
     fields: Fields
-    #: (spark, sf_dir, field names) -> documents
-    docs: Callable[[SparkSession, str, Collection[str]], DataFrame]
+    #: (spark, sf_dir, field names, lowest block or None, highest block or None) -> documents
+    docs: Callable[..., DataFrame]
     shard_size: int
 
 
@@ -36,15 +39,26 @@ EPOCH = "1995-01-01"
 _LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-def ledger_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: blocks of a range beyond which its end is no date that Spark can state
+_LAST_DAY = 2_000_000
+
+
+def ledger_transactions(spark: SparkSession, sf_dir: str, low: int | None = None, high: int | None = None) -> DataFrame:
     """Orders as transactions; the order day is the block."""
-    orders = read(spark, sf_dir, "orders").withColumn("block_num", F.datediff("o_orderdate", F.lit(EPOCH)).cast("long"))
+    orders = read(spark, sf_dir, "orders")
+    day = date.fromisoformat(EPOCH)
+    stamp = lambda n: F.lit((day + timedelta(days=n)).isoformat()).cast(orders.schema["o_orderdate"].dataType)
+    if low is not None and low > -_LAST_DAY // 4:
+        orders = orders.where(F.col("o_orderdate") >= stamp(min(low, _LAST_DAY)))
+    if high is not None and high < _LAST_DAY:
+        orders = orders.where(F.col("o_orderdate") < stamp(max(high + 1, -_LAST_DAY // 4)))
+    orders = orders.withColumn("block_num", F.datediff("o_orderdate", F.lit(EPOCH)).cast("long"))
     rank = F.row_number().over(Window.partitionBy("block_num").orderBy("o_orderkey")) - 1
     return orders.select("block_num", rank.alias("trx_idx"), F.col("o_orderkey").cast("string").alias("trx_id"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
-def _ledger(spark: SparkSession, sf_dir: str, fields: Collection[str]) -> DataFrame:
-    trx = ledger_transactions(spark, sf_dir)
+def _ledger(spark: SparkSession, sf_dir: str, fields: Collection[str], low: int | None = None, high: int | None = None) -> DataFrame:
+    trx = ledger_transactions(spark, sf_dir, low, high)
     if "segment" in fields:
         trx = trx.join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     line = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
@@ -71,8 +85,13 @@ LEDGER = Binding(
 )
 
 
-def _events(spark: SparkSession, sf_dir: str, fields: Collection[str]) -> DataFrame:
-    return event_docs(read(spark, sf_dir, "events"), fields)
+def _events(spark: SparkSession, sf_dir: str, fields: Collection[str], low: int | None = None, high: int | None = None) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    if low is not None:
+        events = events.where(F.col("event_id") >= low * 20)
+    if high is not None and high < 1 << 58:
+        events = events.where(F.col("event_id") < (high + 1) * 20)
+    return event_docs(events, fields)
 
 
 def event_docs(events: DataFrame, fields: Collection[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def shard_base(block: Column | str, size: int) -> Column:
     b = F.col(block) if isinstance(block, str) else block
-    return b - b % size
+    return b - F.pmod(b, F.lit(size))
 
 
 def write(docs: DataFrame, path: str, size: int, mode: str = "error") -> None:
@@ -28,6 +28,11 @@ def read(spark: SparkSession, path: str, low: int, high: int, size: int) -> Data
     return docs.where(F.col("shard_base").between(low - low % size, high)).where(F.col("block_num").between(low, high))
 
 
+def within(shards: DataFrame, start: int, stop: int) -> DataFrame:
+    """Shards of the range that is served: bases from ``start`` on and below ``stop`` (0: no end)."""
+    return shards.where((F.col("shard_base") >= start) & (F.lit(stop == 0) | (F.col("shard_base") < stop)))
+
+
 def stop_before(blocks: DataFrame, stop: int) -> DataFrame:
     """The stop block itself is left out."""
     return blocks.where(F.col("block_num") < stop)

@@ -1 +1 @@
-"""Structured Streaming: fork-aware live search."""
+"""Structured Streaming: live matches of a chain with forks."""

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,13 +14,16 @@ DATA = "/root/testdata"
 def spark():
     from pyspark.sql import SparkSession
 
+    shared = tempfile.TemporaryDirectory(prefix="ledgerseek-tests-")
     s = (
         SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared.name).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+    shared.cleanup()
 
 
 @pytest.fixture(scope="session")

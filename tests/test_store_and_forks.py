@@ -3,8 +3,8 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerseek.operators import search as op
-from ledgerseek.operators.search import Query
+from ledgerseek.operators import matching as op
+from ledgerseek.operators.matching import Query
 from ledgerseek.plans.bounds import Cursor
 from ledgerseek.sources import shards
 from ledgerseek.sources.bindings import EVENTS, LEDGER
@@ -35,10 +35,10 @@ def test_store(spark, tmp_path):
 def test_pages_make_up_the_whole(spark):
     query = Query.of("status:F returnflag:R")
     for down in (False, True):
-        whole = [tuple(r) for r in op.search(spark, SF, LEDGER, query, 100, 200, down).collect()]
+        whole = [tuple(r) for r in op.find(spark, SF, LEDGER, query, 100, 200, down).collect()]
         pages, cursor = [], None
         while True:
-            page = op.search(spark, SF, LEDGER, query, 100, 200, down, 7, cursor)
+            page = op.find(spark, SF, LEDGER, query, 100, 200, down, 7, cursor)
             rows = page.collect()
             pages += map(tuple, rows)
             if not op.outcome(page, 7).limit_reached:
