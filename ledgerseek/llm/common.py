@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import fresh_dir
+
 #: Text handled at once inside a Python worker; numpy work arrays are a small multiple of it.
 CHUNK_BYTES = 1_000_000
 
@@ -22,23 +23,12 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; where that is unset on a single machine, a folder beside the
-    warehouse, which all of a cluster shares too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    return base.rstrip("/")
-
-
 class Scratch:
     """Written tables in the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = fresh_dir(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -22,7 +22,8 @@ pairs must share two bands (miss < 1e-5).
 
 Defined results: null or wordless text -> empty set, its own group, linked with nothing;
 null doc_id -> no group (component_id null, kept true); rows that share a doc_id are one
-document, linked by what any of them links; repeated rows come out as often as they occur.
+document, linked by what any of them links; repeated rows come out as often as they occur;
+an empty table gives no rows; texts of any length are read whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ written in the shared folder.
 
 Defined results: null or blank text -> no words, nothing removed, kept text empty; a null
 doc_id is never smaller and loses nothing; equal doc_ids don't remove from each other;
-repeated rows come out as often as they occur.
+repeated rows come out as often as they occur; ties of equal texts go to the smallest doc_id; an empty table gives
+no rows; texts of any length are read whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ that the payload length and digest of every page come back out of the archives.
 Defined results: null html -> empty payload; payloads under ``least_bytes`` are always
 responses; several rows with the winning page_id and payload are all responses; a null
 page_id never wins over another (all-null groups are responses); repeated rows come out
-as often as they occur.  A revisit whose original is missing keeps null length.
+as often as they occur; an empty table gives archives without records and no rows; payloads of any length are
+written whole; other columns are not read, whatever their names.  A revisit whose original is missing keeps null length.
 """
 
 from __future__ import annotations
