@@ -40,8 +40,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    models = quality.train(docs, table(spark, sf_dir, "labels"), ["quality", "toxic"])
-    scored = quality.score(docs, models)
+    scored = quality.train_and_score(docs, table(spark, sf_dir, "labels"), ["quality", "toxic"])
     return scored.withColumn("keep", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
 
 

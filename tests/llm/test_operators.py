@@ -319,6 +319,26 @@ def test_quality_of_one_class_and_shared_ids(spark):
     assert quality._SLOTS["x" * 70] != quality._SLOTS["x" * 64 + "yyyyyy"]
 
 
+def test_pseudo_labels_come_from_all_documents(spark):
+    """Counts of every confident document against plain loops, and more documents give more counts."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    rows = [(i, f"{'good' if i % 2 else 'bad'} word{i % 2} common{i % 5}", f"s{i % 2}", "en", 20) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    models = quality.train(frame, labels, ["quality"], max_labelled=200)
+    got = quality.pseudo_counts(quality.features(frame), models, 0.6)["quality"]
+    content = [quality.content_features(r[1]) for r in rows]
+    meta = [quality.meta_features(*r[2:]) for r in rows]
+    by_content, by_meta, _ = models["quality"].score(content, meta)
+    want = np.zeros_like(got)
+    for i in range(len(rows)):
+        for p, view, start in ((by_meta[i], content[i], 0), (by_content[i], meta[i], quality.CONTENT)):
+            if p >= 0.6 or 1 - p >= 0.6:
+                want[int(p >= 0.6), start + view] += 1
+    assert (got == want).all() and got[1, quality.SHARES :].max() == 1500
+    scored = quality.score(frame, models).collect()
+    assert all((r["quality"] >= 0.5) == bool(r["doc_id"] % 2) for r in scored)
+
+
 # 6, 7 ---------------------------------------------------------------------------------
 
 
