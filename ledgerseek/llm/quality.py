@@ -10,7 +10,7 @@ Each view adds two signals: a logistic regression on the labelled sample, and a
 log ratio (how much likelier a feature is in one class) on labelled rows and pseudo-labels.
 In each round a pass over *all* documents scores both views; where one is sure (calibrated
 probability at least ``sure``) the document's features count for that class in the ratio of
-the *other* view.  Tasks send sums per feature, so what travels is bounded by the number
+the *other* view.  Tasks send vectors of sums, added as a tree, so what travels is bounded by the number
 of features and every confident document counts, whatever the size of the corpus.  A view's
 two signals are calibrated (Platt) on labelled rows kept out of the training, and a last
 logistic step on those rows combines the two calibrated views.  Every document is scored.
@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,8 @@ from .common import Scratch, by_bytes, tune
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 CONTENT, META, SHARES = 1 << 16, 1 << 10, 6
+#: Features in one vector of sums (divides both views' sizes), and tasks whose vectors are added first.
+SLICE, TEAM = 1 << 10, 256
 
 
 class _Slots(dict):
@@ -259,16 +262,22 @@ def pseudo_counts(table: DataFrame, models: dict[str, CoTrained], sure: float) -
                     for label, strength in ((1, p), (0, 1 - p)):
                         col, _ = _matrix(_pick(view, np.flatnonzero(strength >= sure)))
                         sums[k, label, start : start + size] += np.bincount(col, minlength=size)
-        flat = sums.reshape(-1)
-        at = np.flatnonzero(flat)
-        for a in range(0, len(at), 65_536):
-            part = at[a : a + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(flat[part], pa.int64())], ["slot", "n"])
-
-    # at most one row a model, class and feature reaches the driver
-    total = table.select("content", "meta").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(len(names) * 2 * width)
-    sums[total["slot"].to_numpy()] = total["n"].to_numpy()
+        parts = sums.reshape(-1, SLICE)
+        for i in np.flatnonzero(parts.any(1)):
+            team = TaskContext.get().partitionId() // TEAM
+            yield pa.RecordBatch.from_arrays([pa.array([team], pa.int32()), pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], ["team", "part", "sums"])
+
+    def added(key: tuple, rows: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in rows["sums"]], axis=0)
+        return pa.table({"part": rows["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    # vectors are added as a tree, a team of tasks first: at most one vector a model, class and slice reaches the driver
+    sent = table.select("content", "meta").mapInArrow(run, "team int, part int, sums binary")
+    once = sent.groupBy("team", "part").applyInArrow(added, "part int, sums binary")
+    total = once.groupBy("part").applyInArrow(added, "part int, sums binary").toArrow()
+    sums = np.zeros((len(names) * 2 * width // SLICE, SLICE))
+    for i, line in zip(total["part"].to_pylist(), total["sums"].to_pylist()):
+        sums[i] = np.frombuffer(line, np.int64)
     return dict(zip(names, sums.reshape(len(names), 2, width)))
 
 
