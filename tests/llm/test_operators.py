@@ -1,5 +1,7 @@
 """Operators against brute force, exact round trips or held-out accuracy; every one on empty and awkward tables."""
 
+import base64
+import gzip
 import hashlib
 import re
 import time
@@ -552,6 +554,44 @@ def test_warc(spark, tmp_path):
     assert payloads[2] == big.encode() and payloads[9] == rows[-1][2].encode() and payloads[7] == b""
 
 
+def test_warc_archives_with_revisits(spark, tmp_path):
+    """Three sources: two of the writer, one of another with its own header forms, revisits into the first, a lost original and other records."""
+    big, other, alone = "é" * 600, "o" * 1500, b"\xff\x00" * 700
+    frame = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string")
+    a, b, c, out = (str(tmp_path / x) for x in "abco")
+    warc.write(frame([(1, "u1", big), (2, "u2", big), (3, "u3", "small")]), a, date="2024-02-01T00:00:00Z")
+    warc.write(frame([(4, "u4", big), (5, "u5", other), (6, "u6", "small"), (7, "u7", None)]), b, date="2024-01-01T00:00:00Z")
+    http, base32 = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n", lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+
+    def record(kind, name, block, *more):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{name}>", "warc-date:2024-03-01T00:00:00Z", f"Content-Length: {len(block)}", *more]
+        return gzip.compress(b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.warc.gz").write_bytes(
+        record("warcinfo", "i", b"software: x")
+        + record("response", "r1", http + alone, "WARC-Target-URI: v1")
+        + record("response", "r2", http + other.encode(), "WARC-Target-URI: v2", f"WARC-Payload-Digest: sha1:{base32(other.encode())}")
+        + record("revisit", "r3", http, "WARC-Target-URI: v3", f"WARC-Payload-Digest: sha1:{base32(big.encode())}", "WARC-Refers-To: <urn:gone>")
+        + record("revisit", "r4", http, "WARC-Target-URI: v4", f"WARC-Payload-Digest: sha1:{base32(b'never seen')}", "WARC-Refers-To: <urn:lost>")
+        + record("revisit", "r5", http, "WARC-Target-URI: v5")
+    )
+    warc.deduplicate(spark, [a, b, c], out, file_bytes=1000)
+    rows = {r["url"]: r for r in warc.records(spark, out).collect()}
+    ids = {u: r["record_id"] for u, r in rows.items()}
+    assert len(set(ids.values())) == len(rows) == 12
+    kept = {"u4": big.encode(), "u5": other.encode(), "u3": b"small", "u6": b"small", "u7": b"", "v1": alone}
+    assert {u: bytes(r["payload"]) for u, r in rows.items() if r["record_type"] == "response"} == kept
+    refers = {u: r["refers_to"] for u, r in rows.items() if r["record_type"] == "revisit"}
+    assert refers == {"u1": ids["u4"], "u2": ids["u4"], "v2": ids["u5"], "v3": ids["u4"], "v4": "<urn:lost>", "v5": None}
+    assert bytes(rows["v3"]["http"]) == http and rows["u1"]["date"] == "2024-02-01T00:00:00Z" and rows["u4"]["page_id"] == 4
+    again = str(tmp_path / "again")
+    warc.deduplicate(spark, out, again)
+    assert Counter((r["url"], r["record_type"], r["payload_digest"]) for r in warc.records(spark, again).collect()) == Counter(
+        (u, r["record_type"], r["payload_digest"]) for u, r in rows.items()
+    )
+
+
 def brute_removed(rows, n=13):
     cut = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     first: dict = {}
