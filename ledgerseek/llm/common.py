@@ -104,13 +104,13 @@ def mix(values: np.ndarray) -> np.ndarray:
     return z
 
 
-def rolling(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` neighbouring word hashes (length len(words) - n + 1, at least 0)."""
+def rolling(words: np.ndarray, n: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hash of each run of ``n`` neighbouring word hashes (length len(words) - n + 1, at least 0); another odd factor gives another hash."""
     m = len(words) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(m, np.uint64)
     for k in range(n):
-        out *= np.uint64(0x9E3779B97F4A7C15 | 1)
+        out *= np.uint64(factor)
         out += words[k : k + m]
     return mix(out)

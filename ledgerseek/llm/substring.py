@@ -11,13 +11,18 @@ multiple of that length.  So
    document and occurs in another.  Documents travel in parcels (by hash of doc_id, about
    ``parcel_bytes`` of text), and a parcel sends each distinct hash once with two flags, so
    a passage in a third of all documents costs one entry a parcel, not one a document.
-2. *Extension.*  In each parcel, windows that hold an anchor are hashed whole and sent,
-   again once a distinct hash, with the parcel's smallest and largest doc_id; the answer is the
-   smallest doc_id of each window hash that occurs in several documents.
+2. *Extension.*  In each parcel, windows that hold an anchor are hashed whole, by two
+   hashes of 64 and 63 bits, and sent, again once a distinct pair of hashes, with the parcel's
+   smallest doc_id and whether it has several; the answer is the smallest doc_id of each
+   window that occurs in several documents.
 3. *Removal.*  Each parcel marks the words under windows whose answer is smaller than the
    own doc_id; runs of such windows are the maximal exact repeats.
 
-Hashes (64-bit) travel as packed arrays by bucket, buckets in number to the data, so a
+Words aren't compared: two different windows count as one where all 127 bits agree, which
+1e13 windows do with probability below 1e-12.  An anchor's 64 bits only choose where
+windows are looked up, so an agreement there by chance removes nothing.
+
+Hashes travel as packed arrays by bucket, buckets in number to the data, so a
 task's memory is bounded by the bucket and parcel size.  Tables between the steps are
 written in the shared folder.
 
@@ -39,6 +44,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordHashes, rolling, tune
 
 _WORDS = WordHashes()
+#: Of the second window hash; its lowest bit carries whether a parcel has the window in several documents.
+_FACTOR, _SEVERAL = 0xD1342543DE82EF95, np.int64(1)
 _WIRE = "bucket int, parcel int, hashes binary, extra binary"
 
 
@@ -92,14 +99,14 @@ def _answers(bucket: int, parcels: np.ndarray, hashes: np.ndarray, extra: np.nda
     )
 
 
-def _replies(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """A parcel's answers, sorted by hash."""
+def _replies(table: pa.Table, kind: type, wide: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A parcel's answers, sorted by hash; extras of ``wide`` values are lines of an array."""
     if not table.num_rows:
-        return np.empty(0, np.uint64), np.empty(0, kind)
+        return np.empty(0, np.uint64), np.empty(0, kind).reshape(-1, *[wide] * (wide > 1))
     h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"]])
     e = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table["extra"]])
     order = np.argsort(h)
-    return h[order], e[order]
+    return h[order], (e.reshape(-1, wide) if wide > 1 else e)[order]
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -142,63 +149,85 @@ def _anchors(bucket: int, table: pa.Table) -> pa.Table:
     return _answers(bucket, parcels[keep], h[keep], f[keep])
 
 
-def _windows(words: list[bytes], anchors: np.ndarray, n: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the windows of ``n`` words that hold an anchor."""
+def _changes(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where a new pair of hashes begins, in arrays sorted by both."""
+    return np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
+
+
+def _find(h: np.ndarray, check: np.ndarray, known: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Place of each pair of hashes in the pairs sorted by ``known``, -1 if absent."""
+    at = _among(h, known)
+    left = np.flatnonzero(at >= 0)
+    while len(left := left[checks[at[left]] != check[left]]):
+        at[left] += 1
+        over = (at[left] >= len(known)) | (known[np.minimum(at[left], len(known) - 1)] != h[left])
+        at[left[over]] = -1
+        left = left[~over]
+    return at
+
+
+def _windows(words: list[bytes], anchors: np.ndarray, n: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, hashes, second hashes) of the windows of ``n`` words that hold an anchor."""
+    none = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     if len(words) < n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none
     w = _hashes(words)
     hit = np.cumsum(np.append(0, _among(rolling(w, block), anchors) >= 0))
     span = n - block + 1  # anchors that a window can hold
     starts = np.flatnonzero(hit[span:] > hit[:-span])
     if not len(starts):
-        return starts, np.empty(0, np.uint64)
-    return starts, rolling(w, n)[starts]
+        return none
+    return starts, rolling(w, n)[starts], rolling(w, n, _FACTOR)[starts].view(np.int64) & ~_SEVERAL
 
 
 def _extend(parcel: int, table: pa.Table, replies: pa.Table, n: int, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 2: a parcel's distinct window hashes around anchors, with its smallest and largest doc_id."""
+    """Step 2: a parcel's distinct windows around anchors, with its smallest doc_id and whether it has several."""
     anchors, _ = _replies(replies, np.uint8)
-    hashes, owners = [], []
+    hashes, checks, owners = [], [], []
     for i, text in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()):
         if i is None or not len(anchors):
             continue
-        _, h = _windows(_split(text), anchors, n, block)
+        _, h, check = _windows(_split(text), anchors, n, block)
         if len(h):
             hashes.append(h)
+            checks.append(check)
             owners.append(np.full(len(h), i, np.int64))
     if not hashes:
         return
-    h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((o, h))
-    h, o = h[order], o[order]
-    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    low, high = np.minimum.reduceat(o, starts), np.maximum.reduceat(o, starts)
-    yield _send(parcel, h[starts], np.stack([low, high], 1), buckets)
+    h, check, o = np.concatenate(hashes), np.concatenate(checks), np.concatenate(owners)
+    order = np.lexsort((check, h))
+    h, check, o = h[order], check[order], o[order]
+    starts = _changes(h, check)
+    low = np.minimum.reduceat(o, starts)
+    several = low != np.maximum.reduceat(o, starts)
+    yield _send(parcel, h[starts], np.stack([low, check[starts] | several], 1), buckets)
 
 
 def _smallest(bucket: int, table: pa.Table) -> pa.Table:
-    """For window hashes in several documents: the smallest doc_id, to parcels that hold a larger one."""
+    """For windows in several documents: the smallest doc_id, to parcels that hold a larger one."""
     h, e, parcels = _bucket(table, np.int64)
-    e = e.reshape(-1, 2)
-    order = np.argsort(h, kind="stable")
-    h, e, parcels = h[order], e[order], parcels[order]
-    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    low = np.repeat(np.minimum.reduceat(e[:, 0], starts), np.diff(np.append(starts, len(h))))
-    keep = e[:, 1] > low
-    return _answers(bucket, parcels[keep], h[keep], low[keep])
+    own, mark = e.reshape(-1, 2).T
+    check, several = mark & ~_SEVERAL, (mark & _SEVERAL) > 0
+    order = np.lexsort((check, h))
+    h, check, own, several, parcels = h[order], check[order], own[order], several[order], parcels[order]
+    starts = _changes(h, check)
+    low = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.append(starts, len(h))))
+    keep = several | (own > low)
+    return _answers(bucket, parcels[keep], h[keep], np.stack([low, check], 1)[keep])
 
 
 def _remove(table: pa.Table, anchors: pa.Table, replies: pa.Table, n: int, block: int) -> Iterator[pa.RecordBatch]:
     """Step 3: words that stay."""
     known_anchors, _ = _replies(anchors, np.uint8)
-    known, low = _replies(replies, np.int64)
+    known, extra = _replies(replies, np.int64, 2)
+    low, checks = extra.T.copy()
     out = []
     for i, text in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()):
         words = _split(text)
         gone = np.zeros(0, bool)
         if i is not None and len(known):
-            starts, h = _windows(words, known_anchors, n, block)
-            at = _among(h, known)
+            starts, h, check = _windows(words, known_anchors, n, block)
+            at = _find(h, check, known, checks)
             starts = starts[(at >= 0) & (low[np.maximum(at, 0)] < i)]
             if len(starts):
                 edge = np.zeros(len(words) + 1, np.int64)

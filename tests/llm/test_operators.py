@@ -618,6 +618,26 @@ def test_substring_dedup(spark, awkward):
     assert Counter(map(tuple, got.collect())) == brute_removed(rows)
 
 
+def test_substring_equal_hashes(monkeypatch):
+    """Windows whose first hashes all agree are told apart by the second."""
+    real = substring.rolling
+    monkeypatch.setattr(substring, "rolling", lambda words, n, *factor: real(words, n, *factor) if n != 13 or factor else np.zeros(max(len(words) - 12, 0), np.uint64))
+    words = BASE.split()
+    rows = [(1, BASE), (2, " ".join(words[:30] + ["x"] + words[31:])), (3, " ".join(words[40:])), (4, " ".join(words[20:27] + ["y"] * 20)), (4, "z"), (5, BASE)]
+    halves = [pa.table({"doc_id": [i for i, _ in part], "text": [t for _, t in part]}) for part in (rows[:3], rows[3:])]
+
+    def posted(step):
+        return pa.concat_tables(pa.Table.from_batches(step(k, t)) for k, t in enumerate(halves))
+
+    def own(replies, k):
+        return replies.filter(pa.array(replies["parcel"].to_numpy() == k))
+
+    anchors = substring._anchors(0, posted(lambda k, t: substring._probe(k, t, 7, 1)))
+    answers = substring._smallest(0, posted(lambda k, t: substring._extend(k, t, own(anchors, k), 13, 7, 1)))
+    got = [pa.Table.from_batches(substring._remove(t, own(anchors, k), own(answers, k), 13, 7)) for k, t in enumerate(halves)]
+    assert Counter(tuple(line.values()) for line in pa.concat_tables(got).to_pylist()) == brute_removed(rows)
+
+
 # pipeline -----------------------------------------------------------------------------
 
 
