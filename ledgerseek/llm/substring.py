@@ -46,6 +46,7 @@ from .common import Scratch, WordHashes, rolling, tune
 _WORDS = WordHashes()
 #: Of the second window hash; its lowest bit carries whether a parcel has the window in several documents.
 _FACTOR, _SEVERAL = 0xD1342543DE82EF95, np.int64(1)
+_SIEVE_BITS = 22
 _WIRE = "bucket int, parcel int, hashes binary, extra binary"
 
 
@@ -130,7 +131,7 @@ def _probe(parcel: int, table: pa.Table, block: int, buckets: int) -> Iterator[p
     if not hashes:
         return
     h, f, o = np.concatenate(hashes), np.concatenate(flags), np.concatenate(owners)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, f, o = h[order], f[order], o[order]
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     several = np.minimum.reduceat(o, starts) != np.maximum.reduceat(o, starts)
@@ -140,7 +141,7 @@ def _probe(parcel: int, table: pa.Table, block: int, buckets: int) -> Iterator[p
 def _anchors(bucket: int, table: pa.Table) -> pa.Table:
     """Hashes that are a block somewhere and occur in two documents or more."""
     h, f, parcels = _bucket(table, np.uint8)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, f, parcels = h[order], f[order], parcels[order]
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     sizes = np.diff(np.append(starts, len(h)))
@@ -149,6 +150,20 @@ def _anchors(bucket: int, table: pa.Table) -> pa.Table:
     return _answers(bucket, parcels[keep], h[keep], f[keep])
 
 
+def _order(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """An order by both hashes; by the first alone where equal ones never have different seconds."""
+    order = np.argsort(h)
+    first, second = h[order], check[order]
+    return np.lexsort((check, h)) if ((first[1:] == first[:-1]) & (second[1:] != second[:-1])).any() else order
+
+
+def _sieve(known: np.ndarray) -> np.ndarray:
+    """Which leading bits occur in ``known``: most hashes that aren't in it end here, before a search."""
+    out = np.zeros(1 << _SIEVE_BITS, bool)
+    out[known >> np.uint64(64 - _SIEVE_BITS)] = True
+    return out
+
+
 def _changes(h: np.ndarray, check: np.ndarray) -> np.ndarray:
     """Where a new pair of hashes begins, in arrays sorted by both."""
     return np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
@@ -166,13 +181,16 @@ def _find(h: np.ndarray, check: np.ndarray, known: np.ndarray, checks: np.ndarra
     return at
 
 
-def _windows(words: list[bytes], anchors: np.ndarray, n: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(words: list[bytes], anchors: np.ndarray, sieve: np.ndarray, n: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, hashes, second hashes) of the windows of ``n`` words that hold an anchor."""
     none = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     if len(words) < n:
         return none
     w = _hashes(words)
-    hit = np.cumsum(np.append(0, _among(rolling(w, block), anchors) >= 0))
+    blocks = rolling(w, block)
+    held = sieve[blocks >> np.uint64(64 - _SIEVE_BITS)]
+    held[held] = _among(blocks[held], anchors) >= 0
+    hit = np.cumsum(np.append(0, held))
     span = n - block + 1  # anchors that a window can hold
     starts = np.flatnonzero(hit[span:] > hit[:-span])
     if not len(starts):
@@ -183,11 +201,12 @@ def _windows(words: list[bytes], anchors: np.ndarray, n: int, block: int) -> tup
 def _extend(parcel: int, table: pa.Table, replies: pa.Table, n: int, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Step 2: a parcel's distinct windows around anchors, with its smallest doc_id and whether it has several."""
     anchors, _ = _replies(replies, np.uint8)
+    sieve = _sieve(anchors)
     hashes, checks, owners = [], [], []
     for i, text in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()):
         if i is None or not len(anchors):
             continue
-        _, h, check = _windows(_split(text), anchors, n, block)
+        _, h, check = _windows(_split(text), anchors, sieve, n, block)
         if len(h):
             hashes.append(h)
             checks.append(check)
@@ -195,7 +214,7 @@ def _extend(parcel: int, table: pa.Table, replies: pa.Table, n: int, block: int,
     if not hashes:
         return
     h, check, o = np.concatenate(hashes), np.concatenate(checks), np.concatenate(owners)
-    order = np.lexsort((check, h))
+    order = _order(h, check)
     h, check, o = h[order], check[order], o[order]
     starts = _changes(h, check)
     low = np.minimum.reduceat(o, starts)
@@ -208,7 +227,7 @@ def _smallest(bucket: int, table: pa.Table) -> pa.Table:
     h, e, parcels = _bucket(table, np.int64)
     own, mark = e.reshape(-1, 2).T
     check, several = mark & ~_SEVERAL, (mark & _SEVERAL) > 0
-    order = np.lexsort((check, h))
+    order = _order(h, check)
     h, check, own, several, parcels = h[order], check[order], own[order], several[order], parcels[order]
     starts = _changes(h, check)
     low = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.append(starts, len(h))))
@@ -221,12 +240,13 @@ def _remove(table: pa.Table, anchors: pa.Table, replies: pa.Table, n: int, block
     known_anchors, _ = _replies(anchors, np.uint8)
     known, extra = _replies(replies, np.int64, 2)
     low, checks = extra.T.copy()
+    sieve = _sieve(known_anchors)
     out = []
     for i, text in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()):
         words = _split(text)
         gone = np.zeros(0, bool)
         if i is not None and len(known):
-            starts, h, check = _windows(words, known_anchors, n, block)
+            starts, h, check = _windows(words, known_anchors, sieve, n, block)
             at = _find(h, check, known, checks)
             starts = starts[(at >= 0) & (low[np.maximum(at, 0)] < i)]
             if len(starts):
