@@ -16,10 +16,13 @@
    them.  The number of curves is the one of 4, 8 and ``curves`` that is cheapest at
    that.  Data of low intrinsic dimension get windows of a few rows whatever their number; data
    without structure (isotropic vectors of many dimensions) get windows in proportion to the rows,
-   and a range whose windows would cost more than all its rows is scanned whole, in blocks.
+   and a range whose windows would meet half as many rows as it has is scanned whole, once and exactly.
 5. Vectors travel to (curve, block of ranks) once for each curve, queries to the blocks that
-   their window meets; blocks that no query meets stay away.  Blocks are scored on original vectors in double
-   precision; each yields the best few of each query, merged and re-ranked at the end.  Queries of
+   their window meets; blocks that no query meets stay away.  A block holds its queries and the best few of
+   each, and its rows stream past them, scored on original vectors in double precision; so a block may be
+   of any length.  Blocks travel in tiles as wide as two windows, whose lists are merged before they leave the task: a query
+   puts out at most two short lists a curve, or one for each of the ``SLICES`` blocks of a range that is scanned
+   whole, whatever the number of rows.  Lists are merged and re-ranked at the end.  Queries of
    one block are split in chunks, so a task's memory is bounded wherever they crowd.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components or
@@ -42,8 +45,12 @@ from .common import Scratch, tune
 
 #: queries that meet one block of rows at once
 CHUNK = 16_384
-#: most rows of a block
-WIDEST = 4096
+#: most rows of a block of a window; windows above 4 times that meet more blocks, not more tiles
+WIDEST = 262_144
+#: blocks of a range that is scanned whole: no more of them for more rows, so that lists grow with the queries alone
+SLICES = 8
+#: rows scored at once
+STREAM = 2048
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -149,22 +156,32 @@ def fit_window(distances: np.ndarray, sizes: list[int], target: float, least_blo
         window = int(near[min(len(near) - 1, int(np.ceil(target * len(near))) - 1)]) if len(near) else 0
         block = int(min(WIDEST, max(least_block, -(-window // 4))))
         around = max(1, -(-window // block))
-        own = [Reach(1, 0, True) if c * (2 * around + 1) * block >= n else Reach(c, around, False) for n in sizes]
+        # windows read and ship a row on several curves, a scan once
+        own = [Reach(1, 0, True) if 2 * c * (2 * around + 1) * block >= n else Reach(c, around, False) for n in sizes]
         cost = sum(n if r.whole else c * (2 * around + 1) * block for n, r in zip(sizes, own))
         if best is None or cost < best.candidates:
             best = Fit(window, block, tuple(own), cost)
     return best
 
 
+def _places(q: np.ndarray) -> np.ndarray:
+    """Place of each row in its run of equal ``q``."""
+    first = np.flatnonzero(np.append(True, np.diff(q) != 0))
+    return np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+
+
+def whole_block(n: int) -> int:
+    """Rows of a block where all ``n`` of a range are scanned."""
+    return -(-n // min(SLICES, -(-n // 1024)))
+
+
 def _top(q: np.ndarray, i: np.ndarray, s: np.ndarray, take: int) -> np.ndarray:
     """Places of the best ``take`` rows (q, i, s) of each q, each i once, best first, ties to the smaller i."""
     order = np.lexsort((-s, i, q))
     once = np.append(True, (np.diff(q[order]) != 0) | (np.diff(i[order]) != 0))
     order = order[once]
     order = order[np.lexsort((i[order], -s[order], q[order]))]
-    first = np.flatnonzero(np.append(True, np.diff(q[order]) != 0))
-    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    return order[place < take]
+    return order[_places(q[order]) < take]
 
 
 def _scores(ask: np.ndarray, data: np.ndarray, ids: np.ndarray, take: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -180,26 +197,27 @@ def _spread(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(i.reshape(-1)), pa.array(s.reshape(-1))], ["query", "id", "score"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups out of batches sorted by ``by``."""
-    held: list[pa.RecordBatch] = []
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) of each run of equal ``by``; a run that goes on in the next batch comes in parts."""
     for b in batches:
         if not b.num_rows:
             continue
         keys = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in by], 1)
-        if held:
-            last = np.array([held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() for c in by])
-            cuts = [0] if (keys[0] != last).any() else []
-        else:
-            cuts = []
-        cuts += (np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()
-        at = 0
-        for cut in cuts:
-            if cut > at:
-                held.append(b.slice(at, cut - at))
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for at, end in zip(cuts, cuts[1:]):
+            yield tuple(keys[at].tolist()), b.slice(at, end - at)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups out of batches sorted by ``by``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for key, b in _runs(batches, by):
+        if held and key != last:
             yield pa.Table.from_batches(held)
-            held, at = [], cut
-        held.append(b.slice(at))
+            held = []
+        held.append(b)
+        last = key
     if held:
         yield pa.Table.from_batches(held)
 
@@ -208,6 +226,70 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, dim).astype(np.float64)
 
 
+class Nearest:
+    """The best ``take`` of all rows offered so far for each query, ties to the smaller id; nothing else of them is kept."""
+
+    def __init__(self, ids: np.ndarray, e: np.ndarray, take: int):
+        self.ids, self.e, self.take = ids, e, take
+        self.n = np.zeros(len(ids), np.int64)
+        self.near, self.scores = np.zeros((len(ids), take), np.int64), np.zeros((len(ids), take))
+
+    def offer(self, ids: np.ndarray, e: np.ndarray) -> None:
+        step = max(1, 1_000_000 // max(1, len(ids)))
+        for a in range(0, len(self.ids), step):
+            s = self.e[a : a + step] @ e.T
+            # A row below the last of a full list can't enter it; of many that can, the best ``take`` and their ties are looked at.
+            least = np.where(self.n == self.take, self.scores[:, -1], -np.inf)[a : a + step, None]
+            on = ~(s < least)
+            many = np.flatnonzero(on.sum(1) > 2 * self.take)
+            if len(many):
+                on[many] &= ~(s[many] < -np.partition(-s[many], self.take - 1, axis=1)[:, self.take - 1 : self.take])
+            q, r = np.nonzero(on)
+            if len(q):
+                self._merge(q + a, ids[r], s[q, r])
+
+    def _merge(self, q: np.ndarray, i: np.ndarray, s: np.ndarray) -> None:
+        had = np.unique(q)
+        row, place = np.nonzero(np.arange(self.take) < self.n[had, None])
+        q, i, s = np.append(q, had[row]), np.append(i, self.near[had[row], place]), np.append(s, self.scores[had[row], place])
+        at = _top(q, i, s, self.take)
+        place = _places(q[at])
+        self.near[q[at], place], self.scores[q[at], place] = i[at], s[at]
+        self.n[had] = np.bincount(q[at], minlength=len(self.n))[had]
+
+    def batch(self) -> pa.RecordBatch:
+        row, place = np.nonzero(np.arange(self.take) < self.n[:, None])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.near[row, place]), pa.array(self.scores[row, place])], ["query", "id", "score"])
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], by: list[str], dim: int, take: int) -> Iterator[tuple[list, pa.RecordBatch]]:
+    """(group, the best of each of its queries); sorted by ``by`` and falling kind: a group's queries (1) come before its rows (0)."""
+    group, asked, waiting, found = None, [], [], None
+
+    def offer():
+        if waiting:
+            found.offer(np.concatenate([i for i, _ in waiting]), np.concatenate([e for _, e in waiting]))
+            waiting.clear()
+
+    for (*key, kind), b in _runs(batches, [*by, "kind"]):
+        if key != group:
+            if found:
+                offer()
+                yield group, found.batch()
+            group, asked, found = key, [], None
+        part = b.column(b.schema.get_field_index("id")).to_numpy(), _matrix(b.column(b.schema.get_field_index("e")), dim)
+        if kind:
+            asked.append(part)
+        elif asked:
+            found = found or Nearest(np.concatenate([i for i, _ in asked]), np.concatenate([e for _, e in asked]), take)
+            waiting.append(part)
+            if sum(len(i) for i, _ in waiting) >= STREAM:
+                offer()
+    if found:
+        offer()
+        yield group, found.batch()
+
+
 class _Space:
     """Distinct vectors of one table, their norm ranges and their curves."""
 
@@ -347,39 +429,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 16,
         report.append(fit)
 
     # Every (curve, block) that is read, for each chunk of the queries that meet it.
-    spot = [(g, r.curves, r.around, r.whole, -(-ranges[g][2] // fit.block)) for g, r in enumerate(fit.ranges)]
-    known = F.broadcast(spark.createDataFrame(spot, "g int, used int, around int, whole boolean, blocks long"))  # one row a range
+    wide = [whole_block(n) if r.whole else fit.block for (_, _, n), r in zip(ranges, fit.ranges)]
+    spot = [(g, r.curves, r.around, r.whole, wide[g], -(-ranges[g][2] // wide[g])) for g, r in enumerate(fit.ranges)]
+    known = F.broadcast(spark.createDataFrame(spot, "g int, used int, around int, whole boolean, wide long, blocks long"))  # one row a range
     line = ranked.withColumn("g", F.floor(F.col("curve") / curves).cast("int")).join(known, "g").where(F.col("curve") % curves < F.col("used"))
-    line = line.withColumn("block", F.least(F.floor(F.col("rank") / fit.block), F.col("blocks") - 1))
+    line = line.withColumn("block", F.least(F.floor(F.col("rank") / F.col("wide")), F.col("blocks") - 1))
     asks = line.where("kind = 1").withColumn("width", F.when(F.col("whole"), F.col("blocks")).otherwise(2 * F.col("around") + 1))
     crowd = asks.groupBy("curve", "block").agg(F.ceil(F.count("*") * F.max("width") / CHUNK).alias("chunks"))
     low = F.when(F.col("whole"), 0).otherwise(F.greatest(F.col("block") - F.col("around"), F.lit(0)))
     high = F.when(F.col("whole"), F.col("blocks") - 1).otherwise(F.least(F.col("block") + F.col("around"), F.col("blocks") - 1))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    asks = asks.join(crowd, ["curve", "block"]).where(F.col("blocks") > 0).select("curve", chunk.alias("chunk"), "id", F.explode(F.sequence(low, high)).alias("block"))
-    asks = scratch.put(asks, "asks")
-    needed = asks.select("curve", "block", "chunk").distinct()
+    # A window is 2 * around + 1 blocks long, a tile 4 * around: it meets two tiles at most.
+    tile = F.when(F.col("whole"), F.col("block")).otherwise(F.floor(F.col("block") / (4 * F.col("around"))))
+    asks = asks.join(crowd, ["curve", "block"]).where(F.col("blocks") > 0).select("curve", chunk.alias("chunk"), "id", "whole", "around", F.explode(F.sequence(low, high)).alias("block"))
+    asks = scratch.put(asks.select("curve", tile.alias("tile"), "chunk", "block", "id"), "asks")
+    by = ["curve", "tile", "chunk", "block"]
+    needed = asks.select(*by).distinct()
     rows = line.where("kind = 0").select("curve", "block", "id").join(needed, ["curve", "block"])
-    both = rows.select("curve", "block", "chunk", F.lit(0).alias("kind"), "id").union(asks.select("curve", "block", "chunk", F.lit(1).alias("kind"), "id"))
-    by = ["curve", "block", "chunk"]
-    sent = both.join(space.points.select("id", "e"), "id").repartition(*by).sortWithinPartitions(*by)
+    both = rows.select(*by, F.lit(0).alias("kind"), "id").union(asks.select(*by, F.lit(1).alias("kind"), "id"))
+    sent = both.join(space.points.select("id", "e"), "id").repartition(*by[:3]).sortWithinPartitions(*by, F.desc("kind"))
     take, dim = k + 1, space.dim
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_():
-            for t in _blocks(batches, by):
-                kind, ids, e = t["kind"].to_numpy(), t["id"].to_numpy(), _matrix(t["e"].combine_chunks(), dim)
-                data, ask = kind == 0, kind == 1
-                for a, s, i in _scores(e[ask], e[data], ids[data], take):
-                    yield ids[ask][a : a + len(s)], s, i
-
-        held, n = [], 0
-        for b in _spread(rows_()):  # queries meet neighbouring blocks in one task: the best of both before the exchange
+        held, n, most, last = [], 0, 400_000, None
+        for (*tile, _), b in _streamed(batches, by, dim, take):
+            if n > 400_000 and tile != last:  # only whole tiles leave
+                held = [_reduced(held, take)]
+                n, most = held[0].num_rows, 400_000
+                if n > 200_000:
+                    yield held[0]
+                    held, n = [], 0
+            elif n > most:
+                held = [_reduced(held, take)]
+                n = held[0].num_rows
+                most = max(400_000, 2 * n)
             held.append(b)
             n += b.num_rows
-            if n > 400_000:
-                yield _reduced(held, take)
-                held, n = [], 0
+            last = tile
         if held:
             yield _reduced(held, take)
 

@@ -529,6 +529,79 @@ def test_nearest_crowds_are_split(spark, monkeypatch):
     assert hit / 1000 >= 0.9
 
 
+def rows_made(spark, since, node):
+    """Rows that plan nodes whose description holds ``node`` put out, in the executions from number ``since``."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for x in (runs.apply(k).executionId() for k in range(runs.size())):
+        if x < since:
+            continue
+        nodes, metrics = store.planGraph(x).allNodes(), store.executionMetrics(x)
+        for n in (nodes.apply(k) for k in range(nodes.size())):
+            if node in n.desc():
+                own = [n.metrics().apply(k) for k in range(n.metrics().size())]
+                total += sum(int(metrics.apply(m.accumulatorId()).replace(",", "")) for m in own if m.name() == "number of output rows")
+    return total
+
+
+@pytest.mark.parametrize("dims, lists", [(48, 8), (24, 32)])
+def test_nearest_lists_dont_grow_with_rows(spark, dims, lists):
+    """Windows that would meet 4 of 5 rows (48 dimensions) give way to a scan of at most 8 blocks; smaller ones (24) meet at most two tiles on each of 16 curves.
+
+    A query puts out one list of 21 from each, into however many partitions they are dealt.
+    """
+    n, rng = 51_282, np.random.default_rng(3)
+    latent = rng.normal(size=(n, dims))
+    e = latent @ np.linalg.qr(rng.normal(size=(64, 64)))[0][:dims]
+    e = (e / np.linalg.norm(e, axis=1, keepdims=True)).astype(np.float32)
+    frame = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(e.reshape(-1), 64).cast(pa.list_(pa.float32()))})
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    since = runs.apply(runs.size() - 1).executionId() + 1 if runs.size() else 0
+    dealt = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, report = {k: spark.conf.get(k) for k in dealt}, []
+    try:
+        for k, v in dealt.items():
+            spark.conf.set(k, v)
+        got = ann.nearest(spark.createDataFrame(frame), F.col("vec_id") % 20 == 0, report=report).toArrow()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    (fit,) = report
+    assert [r.whole for r in fit.ranges] == [dims == 48]
+    asked = range(0, n, 20)
+    made = rows_made(spark, since, "scored(")
+    assert 21 * len(asked) <= made <= lists * 21 * len(asked)
+    q, found, wide, hit = got["query_id"].to_numpy(), got["vec_id"].to_numpy(), e.astype(float), []
+    for i in asked[::10]:
+        s = wide @ wide[i]
+        s[i] = -np.inf
+        hit.append(len(set(found[q == i].tolist()) & set(np.argpartition(-s, 20)[:20].tolist())) / 20)
+    assert np.mean(hit) >= (1.0 if dims == 48 else 0.9)
+
+
+def test_nearest_streams_rows():
+    """Rows offered in parts, with ties, repeats and fewer than are asked for, give the lists of a sort of all."""
+    rng = np.random.default_rng(8)
+    ask, data = (rng.integers(-2, 3, (n, 3)).astype(float) for n in (50, 700))
+    ids, names = rng.permutation(700), np.arange(50) + 1000
+    for rows, part in ((700, 33), (700, 700), (5, 2)):
+        near = ann.Nearest(names, ask, 21)
+        for a in [*range(0, rows, part), 0]:
+            near.offer(ids[a : min(rows, a + part)], data[a : min(rows, a + part)])
+        got = near.batch().to_pylist()
+        for name, v in zip(names, ask):
+            want = sorted((-float(v @ data[k]), int(ids[k])) for k in range(rows))[:21]
+            assert [(-r["score"], r["id"]) for r in got if r["query"] == name] == want
+
+
+def test_nearest_wide_windows_are_scans():
+    """Windows that would meet half of the rows or more give way to one exact scan, cut into blocks whose number doesn't grow."""
+    wide = np.full((1000, 16), 1147.0)
+    assert ann.fit_window(wide[:, :4], [51_282], 0.93, 64).ranges == (ann.Reach(4, 4, False),)
+    assert ann.fit_window(wide[:, :4], [20_000], 0.93, 64).ranges == (ann.Reach(1, 0, True),)
+    assert [-(-n // ann.whole_block(n)) for n in (1, 1024, 1025, 10_256, 51_282, 10**9)] == [1, 1, 2, 8, 8, 8]
+
+
 def test_curve_is_a_walk():
     side = np.stack(np.meshgrid(*[np.arange(4)] * 3), -1).reshape(-1, 3)
     order = side[np.argsort(ann.hilbert(side, 2))]
