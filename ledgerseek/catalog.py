@@ -501,8 +501,8 @@ def store_boundaries(spark, sf_dir):
 
 @_query("store_follow", _BOUNDS_SQL + "SELECT shard_base, n_docs FROM s WHERE n_blocks = 10")
 def store_follow(spark, sf_dir):
-    """A stream into the store: shards are published as they become whole."""
-    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """A stream into the store: shards are published as they become whole.  The path is a pattern, which streams take for a file and for a folder of files."""
+    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     docs = event_docs(events, ("event_type",)).withColumn("block_id", F.concat(F.lit("b"), F.col("block_num").cast("string"))).withColumn("block_time", F.timestamp_seconds(F.col("block_num")))
     store = ShardStore(spark, fresh_dir(spark, "follow"), EVENTS.shard_size)
     store.ingest(docs)

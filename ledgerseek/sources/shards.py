@@ -1,11 +1,13 @@
 """Shard store: documents in Parquet by block range, with boundaries, integrity, gaps and retention.
 
-A shard holds the blocks ``[base, base + size - 1]``; ``shard_base`` is the partition
-column, and files are sorted by block, so ranges prune partitions and row groups.
+A shard holds the blocks ``[base, base + size - 1]``.  Files are sorted by block and hold as many shards as fit, so their number
+follows the documents, not the shards; a file lies in ``shard_base=<its first shard>/shard_last=<its last one>``, so ranges prune folders and row groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +17,54 @@ def shard_base(block: Column | str, size: int) -> Column:
     return b - F.pmod(b, F.lit(size))
 
 
-def write(docs: DataFrame, path: str, size: int, mode: str = "error") -> None:
-    """Documents into shards; a range partitioning splits large shards over tasks and keeps files sorted."""
-    out = docs.withColumn("shard_base", shard_base("block_num", size))
-    out = out.repartitionByRange("shard_base", "block_num").sortWithinPartitions("shard_base", "block_num", "trx_idx", "action_idx")
-    out.write.mode(mode).partitionBy("shard_base").option("compression", "zstd").parquet(path)
+def write_sorted(docs: DataFrame, path: str) -> None:
+    """Documents into sorted files; a range partitioning splits large shards over tasks, and small shards share a file."""
+    out = docs.drop("shard_base").repartitionByRange("block_num").sortWithinPartitions("block_num", "trx_idx", "action_idx")
+    out.write.option("compression", "zstd").parquet(path)
+
+
+def shards_of_files(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """``file, shard_base``: the shards that each file of :func:`write_sorted` has documents of."""
+    return spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), shard_base("block_num", size).alias("shard_base")).distinct()
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(the path, its file system)."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return to, to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """A rename to a place that is free; raises where it is taken or the rename fails."""
+    (source, files), (target, _) = hadoop_path(spark, path), hadoop_path(spark, to)
+    files.mkdirs(target.getParent())
+    if files.exists(target) or not files.rename(source, target):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
+def put_in_place(spark: SparkSession, path: str, files: Iterable[tuple[str, int | None, int | None]], to: str) -> None:
+    """``files`` (name, first shard, last shard) of :func:`write_sorted` into the folders of their shards under ``to``."""
+    for name, first, last in files:
+        first, last = ("__HIVE_DEFAULT_PARTITION__" if base is None else base for base in (first, last))
+        move(spark, f"{path}/{name}", f"{to}/shard_base={first}/shard_last={last}/{name}")
+
+
+def put_all_in_place(spark: SparkSession, path: str, to: str, size: int) -> None:
+    spans = shards_of_files(spark, path, size).groupBy("file").agg(F.min("shard_base"), F.max("shard_base"))
+    put_in_place(spark, path, map(tuple, spans.collect()), to)  # one row a file
+
+
+def write(docs: DataFrame, path: str, size: int) -> None:
+    """Documents into files by shards, under a new ``path``."""
+    write_sorted(docs, path)
+    put_all_in_place(docs.sparkSession, path, path, size)
 
 
-def read(spark: SparkSession, path: str, low: int, high: int, size: int) -> DataFrame:
-    """Documents of a range: partition filter and row-group filter."""
-    docs = spark.read.parquet(path)
-    return docs.where(F.col("shard_base").between(low - low % size, high)).where(F.col("block_num").between(low, high))
+def read(spark: SparkSession, path: str, low: int, high: int, size: int, runs: Sequence[str] | None = None) -> DataFrame:
+    """Documents of a range: partition filter and row-group filter; of the folders ``runs`` under ``path`` only, if given."""
+    docs = spark.read.option("basePath", path).parquet(*([path] if runs is None else [f"{path}/{r}" for r in runs]))
+    docs = docs.where((F.col("shard_base") <= high) & (F.col("shard_last") >= low - low % size)).where(F.col("block_num").between(low, high))
+    return docs.withColumn("shard_base", shard_base("block_num", size)).drop("shard_last", "shard_run")
 
 
 def within(shards: DataFrame, start: int, stop: int) -> DataFrame:

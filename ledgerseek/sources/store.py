@@ -1,7 +1,8 @@
 """A store of shards: staged, checked, published, followed, cleaned, and read with pruning.
 
-``path/docs/shard_base=<base>/`` holds a shard's documents sorted by block, ``path/meta`` one row of boundaries a shard.
-A shard is written in a staging folder, checked, and moved to its place by a rename; readers see whole shards only.
+``path/docs/shard_run=<id>`` holds the documents that were published at once, in files as :mod:`.shards` has them, and ``path/meta/shard_run=<id>`` one row
+of boundaries for each of their shards.  Both are written in a staging folder, checked, and moved to their places by renames, the one of ``meta``
+last; a reader takes the runs that ``meta`` has, so it sees whole shards only.  Files and renames follow the documents, not the shards; the driver has a row a file, and the shards' numbers where it returns them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.bounds import RangeError
@@ -34,6 +35,10 @@ def boundaries(docs: DataFrame, size: int) -> DataFrame:
 
 def faults(meta: DataFrame, size: int, first_block: int = 0) -> DataFrame:
     """``shard_base, faults array<string>``: all that is wrong with each shard's boundaries and blocks; empty for a whole shard."""
+    return meta.select("shard_base", _faults(size, first_block).alias("faults"))
+
+
+def _faults(size: int, first_block: int) -> Column:
     start = F.greatest(F.col("shard_base"), F.lit(first_block))
     last = F.col("shard_base") + size - 1
     tests = {
@@ -46,7 +51,7 @@ def faults(meta: DataFrame, size: int, first_block: int = 0) -> DataFrame:
         "last block is missing": F.col("end_num") != last,
         "blocks are missing": F.col("n_blocks") != F.col("end_num") - F.col("start_num") + 1,
     }
-    return meta.select("shard_base", F.filter(F.array(*(F.when(bad, name) for name, bad in tests.items())), lambda x: x.isNotNull()).alias("faults"))
+    return F.filter(F.array(*(F.when(bad, name) for name, bad in tests.items())), lambda x: x.isNotNull())
 
 
 def analyze(meta: DataFrame, size: int, first_block: int = 0) -> DataFrame:
@@ -67,47 +72,85 @@ class ShardStore:
     block_filter: Callable[[DataFrame], DataFrame] | None = None
 
     def _files(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return shards.hadoop_path(self.spark, f"{self.path}/{name}")
 
-    def meta(self) -> DataFrame:
-        """Boundaries of the published shards."""
+    def _delete(self, name: str) -> None:
+        path, files = self._files(name)
+        files.delete(path, True)
+
+    def _names(self, name: str) -> list[str]:
+        """Names of what a folder has; none if there is no folder."""
+        path, files = self._files(name)
+        return sorted(x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else []
+
+    def _listed(self) -> DataFrame:
+        """:meth:`meta` with the run that a shard is in."""
+        schema = f"{META}, shard_run string"
         try:
-            found = self.spark.read.schema(META).parquet(f"{self.path}/meta")
+            found = self.spark.read.schema(schema).parquet(f"{self.path}/meta")
         except AnalysisException:
-            found = self.spark.createDataFrame([], META)
+            found = self.spark.createDataFrame([], schema)
         return found.dropDuplicates(["shard_base"])
 
+    def meta(self) -> DataFrame:
+        """Boundaries of the published shards."""
+        return self._listed().drop("shard_run")
+
     def publish(self, docs: DataFrame, whole: bool = True) -> list[int]:
         """Stages, checks and publishes the shards of ``docs``; the bases published.  Shards with faults (``whole``) or
         that are there already are left out.  The list is one number a shard."""
-        if self.block_filter:
-            docs = self.block_filter(docs)
-        staging = f"staging-{uuid.uuid4().hex}"
-        shards.write(docs, f"{self.path}/{staging}", self.size)
-        staged = self.spark.read.parquet(f"{self.path}/{staging}")
-        meta = boundaries(staged, self.size).join(self.meta().select("shard_base"), "shard_base", "left_anti")
+        run = self._publish(self.block_filter(docs) if self.block_filter else docs, whole)
+        if run is None:
+            return []
+        return sorted(r[0] for r in self.spark.read.parquet(f"{self.path}/meta/{run}").select("shard_base").collect())
+
+    def _publish(self, docs: DataFrame, whole: bool, rest: str | None = None) -> str | None:
+        """The run published, None if no shard was; the documents of all other shards go to the folder ``rest``.
+
+        Files whose shards are all published are moved; the others only are written again.
+        """
+        staging, run = f"staging-{uuid.uuid4().hex}", f"shard_run=r{uuid.uuid4().hex}"
+        at = f"{self.path}/{staging}"
+        shards.write_sorted(docs, f"{at}/sorted")
+        staged = self.spark.read.parquet(f"{at}/sorted")
+        meta = boundaries(staged, self.size).where("shard_base is not null").join(self.meta().select("shard_base"), "shard_base", "left_anti")
         if whole:
-            meta = meta.join(faults(meta, self.size, self.first_block).where("size(faults) = 0").select("shard_base"), "shard_base")
-        rows = meta.orderBy("shard_base").collect()
-        for r in rows:
-            to, files = self._files(f"docs/shard_base={r['shard_base']}")
-            files.mkdirs(to.getParent())
-            files.rename(self._files(f"{staging}/shard_base={r['shard_base']}")[0], to)
-        if rows:  # the row of a shard comes last: what meta lists is in place
-            self.spark.createDataFrame(rows, META).coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
-        path, files = self._files(staging)
-        files.delete(path, True)
-        return [r["shard_base"] for r in rows]
+            meta = meta.where(F.size(_faults(self.size, self.first_block)) == 0)
+        meta.write.parquet(f"{at}/meta")
+        own = self.spark.read.parquet(f"{at}/meta").select("shard_base")
+        files = shards.shards_of_files(self.spark, f"{at}/sorted", self.size).join(own.withColumn("own", F.lit(True)), "shard_base", "left")
+        is_own = F.coalesce("own", F.lit(False))
+        found = files.groupBy("file").agg(F.bool_and(is_own).alias("all"), F.bool_or(is_own).alias("some"), F.min("shard_base").alias("lo"), F.max("shard_base").alias("hi")).collect()  # one row a file
+        base = shards.shard_base("block_num", self.size) == F.col("shard_base")
+        if mixed := [f"{at}/sorted/{r['file']}" for r in found if r["some"] and not r["all"]]:
+            shards.write_sorted(self.spark.read.parquet(*mixed).join(own, base, "left_semi"), f"{at}/again")
+            shards.put_all_in_place(self.spark, f"{at}/again", f"{at}/docs", self.size)
+        if rest and (left := [f"{at}/sorted/{r['file']}" for r in found if not r["all"]]):
+            self.spark.read.parquet(*left).join(own, base, "left_anti").write.parquet(rest)
+        shards.put_in_place(self.spark, f"{at}/sorted", [(r["file"], r["lo"], r["hi"]) for r in found if r["all"]], f"{at}/docs")
+        published = any(r["some"] for r in found)
+        if published:  # the rows of the shards come last: what meta lists is in place
+            shards.move(self.spark, f"{at}/docs", f"{self.path}/docs/{run}")
+            shards.move(self.spark, f"{at}/meta", f"{self.path}/meta/{run}")
+        self._delete(staging)
+        return run if published else None
 
     def _take(self, batch: DataFrame, number: int) -> None:
-        """One micro-batch into the inbox (again, if a restart repeats it), then the shards that are complete now."""
-        batch.write.mode("overwrite").parquet(f"{self.path}/inbox/batch={number}")
-        waiting = self.spark.read.schema(batch.schema).parquet(f"{self.path}/inbox/batch=*")
-        base = shards.shard_base("block_num", self.size)
+        """Publishes the shards that are complete with one micro-batch and what earlier ones left; what this one leaves is
+        ``inbox/batch=<number>``.  A restart that repeats the batch finds its predecessor's there."""
+        docs = self.block_filter(batch) if self.block_filter else batch
+        numbers = sorted(int(name.partition("=")[2]) for name in self._names("inbox"))
+        earlier = [n for n in numbers if n < number]
+        if earlier and any(name.endswith(".parquet") for name in self._names(f"inbox/batch={earlier[-1]}")):
+            docs = docs.unionByName(self.spark.read.parquet(f"{self.path}/inbox/batch={earlier[-1]}"))
         done = self.meta().select(F.col("shard_base").alias("__done"))
-        self.publish(waiting.join(done, base == F.col("__done"), "left_anti"))
+        rest = f"inbox/batch={number}"
+        self._delete(rest)
+        self._publish(docs.join(done, shards.shard_base("block_num", self.size) == F.col("__done"), "left_anti"), True, f"{self.path}/{rest}")
+        path, files = self._files(rest)
+        files.mkdirs(path)
+        for n in earlier[:-1]:
+            self._delete(f"inbox/batch={n}")
 
     def ingest(self, docs: DataFrame, follow: bool = False):
         """Batch documents are published at once; those of a stream by the same way as their shards become complete.
@@ -132,19 +175,35 @@ class ShardStore:
 
     def clean(self, start: int, stop: int = 0) -> list[int]:
         """Removes the shards outside [start, stop); the bases removed."""
-        meta = self.meta()
+        meta = self._listed()
         stay = shards.within(meta, start, stop)
-        gone = [r[0] for r in meta.join(stay.select("shard_base"), "shard_base", "left_anti").select("shard_base").collect()]
-        if gone:
-            rows = stay.collect()  # one row a shard
-            self.spark.createDataFrame(rows, META).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta-next")
-            (old, files), (new, _) = self._files("meta"), self._files("meta-next")
-            files.delete(old, True)
-            files.rename(new, old)
-        for base in gone:
-            path, files = self._files(f"docs/shard_base={base}")
-            files.delete(path, True)
-        return sorted(gone)
+        gone = sorted(r[0] for r in meta.join(stay.select("shard_base"), "shard_base", "left_anti").select("shard_base").collect())
+        if not gone:
+            return gone
+        staging = f"staging-{uuid.uuid4().hex}"
+        stay.repartition("shard_run").write.partitionBy("shard_run").parquet(f"{self.path}/{staging}/meta")
+        stale, cut = [], {}
+        for run in self._names("meta"):
+            for first in self._names(f"docs/{run}"):
+                for last in self._names(f"docs/{run}/{first}"):
+                    lo, hi = (int(x.partition("=")[2]) for x in (first, last))
+                    if lo < start or (stop and hi >= stop):
+                        stale.append(f"docs/{run}/{first}/{last}")
+                        if hi >= start and not (stop and lo >= stop):
+                            cut.setdefault(run, []).append(f"{self.path}/{stale[-1]}")
+        for run, paths in cut.items():  # files with shards on both sides are written again
+            kept = shards.within(self.spark.read.parquet(*paths).withColumn("shard_base", shards.shard_base("block_num", self.size)), start, stop)
+            shards.write_sorted(kept, f"{self.path}/{staging}/{run}")
+        self._delete("meta")
+        shards.move(self.spark, f"{self.path}/{staging}/meta", f"{self.path}/meta")
+        for name in stale:
+            self._delete(name)
+        for run in cut:
+            shards.put_all_in_place(self.spark, f"{self.path}/{staging}/{run}", f"{self.path}/docs/{run}", self.size)
+        for run in set(self._names("docs")) - set(self._names("meta")):
+            self._delete(f"docs/{run}")
+        self._delete(staging)
+        return gone
 
     def segment(self, name: str, tier: int = 0, moving: bool = True) -> Segment | None:
         """What the store serves, for the planner: None while it is empty."""
@@ -153,7 +212,7 @@ class ShardStore:
 
     def read(self, low: int, high: int) -> DataFrame:
         """Documents of a range: the range is a filter on partitions and, by the files' order, on row groups."""
-        return shards.read(self.spark, f"{self.path}/docs", low, high, self.size)
+        return shards.read(self.spark, f"{self.path}/docs", low, high, self.size, [name for name in self._names("meta") if name.startswith("shard_run=")])
 
     def check_bounds(self, low: int, high: int, descending: bool = False) -> None:
         """Raises for a request whose first block the store does not hold."""

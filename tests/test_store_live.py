@@ -1,6 +1,10 @@
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerseek import catalog
 from ledgerseek.config import EngineConfig
 from ledgerseek.functions.text import chunk_map
 from ledgerseek.operators import matching as op
@@ -114,3 +118,52 @@ def test_hooks_and_settings(spark, tmp_path):
     names = []
     assert sqe.visit(sqe.parse("a:1 -(b:2 OR c:3)"), lambda n: names.append(type(n).__name__), lambda n: names.append("/")) and names[0] == "And" and names[-1] == "/"
     assert not sqe.visit(sqe.parse("a:1 b:2"), after=lambda n: False)
+
+
+def files_under(path):
+    return [os.path.join(d, x) for d, _, names in os.walk(path) for x in names if x.endswith(".parquet")]
+
+
+def test_files_follow_documents_not_shards(spark, tmp_path):
+    docs = blocks_of(spark)
+    store, n = ShardStore(spark, str(tmp_path / "s"), 1), docs.select("block_num").distinct().count()
+    assert store.publish(docs.where("block_num % 7 <> 3"), whole=False) == [b for b in range(n) if b % 7 != 3] and n > 40
+    assert store.publish(docs, whole=False) == [b for b in range(n) if b % 7 == 3]  # files of shards old and new are parted
+    assert len(files_under(tmp_path)) <= 2 * (4 + 4)  # two runs of documents and boundaries on four partitions
+    rows = lambda d: sorted(map(tuple, d.select("block_num", "trx_id", "action_idx", "shard_base").collect()))
+    want = docs.withColumn("shard_base", F.col("block_num"))
+    assert rows(store.read(0, 1000)) == rows(want) and rows(store.read(3, 9)) == rows(want.where("block_num between 3 and 9"))
+    assert store.clean(5, 33) == [*range(5), *range(33, n)] and store.clean(5, 33) == []
+    assert rows(store.read(0, 1000)) == rows(want.where("block_num between 5 and 32"))
+    assert rows(spark.read.option("basePath", f"{store.path}/docs").parquet(f"{store.path}/docs").withColumn("shard_base", F.col("block_num"))) == rows(want.where("block_num between 5 and 32"))  # the files are cut too
+    assert store.publish(docs, whole=False) == [*range(5), *range(33, n)] and rows(store.read(0, 1000)) == rows(want)
+    assert store.clean(1000) == list(range(n)) and store.meta().isEmpty() and not files_under(f"{store.path}/docs")
+
+
+def test_what_meta_does_not_list_is_not_read(spark, tmp_path):
+    docs, store = blocks_of(spark), ShardStore(spark, str(tmp_path / "s"), 10)
+    store.publish(docs.where("block_num < 20"))
+    (run,) = os.listdir(f"{store.path}/meta")
+    shutil.copytree(f"{store.path}/docs/{run}", f"{store.path}/docs/{run}0")  # as if a publisher had died between its renames
+    assert store.read(0, 1000).count() == docs.where("block_num < 20").count()
+
+
+def test_micro_batches_carry_what_they_leave(spark, tmp_path):
+    docs, store = blocks_of(spark), ShardStore(spark, str(tmp_path / "s"), 10)
+    cuts = [docs.where("block_num < 14"), docs.where("block_num between 14 and 17"), docs.where("block_num between 18 and 29 or block_num = 35"), docs.where("block_num between 30 and 34 or block_num > 35")]
+    known = [[0], [0], [0, 10, 20], [0, 10, 20, 30, 40]]
+    left = [docs.where("block_num between 10 and 13"), docs.where("block_num between 10 and 17"), docs.where("block_num = 35"), docs.where("block_num > 49")]
+    for k, (batch, bases, rest) in enumerate(zip(cuts, known, left)):
+        for _ in range(2):  # a restart repeats a batch
+            store._take(batch, k)
+            assert sorted(r[0] for r in store.meta().select("shard_base").collect()) == bases
+            held = files_under(f"{store.path}/inbox/batch={k}")
+            assert (spark.read.parquet(*held).count() if held else 0) == rest.count()
+    assert sorted(os.listdir(f"{store.path}/inbox")) == ["batch=2", "batch=3"]
+    assert store.read(0, 49).count() == docs.where("block_num < 50").count()
+
+
+def test_follow_reads_tables_of_many_files(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    rows = lambda d: sorted(map(tuple, catalog.QUERIES["store_follow"](spark, d).collect()))
+    assert rows(str(tmp_path)) == rows(SF) != []
